@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, quality_rules, tier_packing
+from . import bitpack, quality_rules, simhash_mih, tier_packing, wu_manber
 from .common import table
 from .tokens import vocabulary_path
 
@@ -17,10 +17,18 @@ def op7_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_mih.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wu_manber.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bit_packing, op7_tier_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_bit_packing, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
 
 ORACLES = {"op10_quality_rules": quality_rules.ORACLE}

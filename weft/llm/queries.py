@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, quality_rules, simhash_mih, tier_packing, wu_manber
+from . import bitpack, line_dedup, quality_rules, simhash_mih, tier_packing, wu_manber
 from .common import table
 from .tokens import vocabulary_path
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(table(spark, sf_dir, "documents"))
+
+
 def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.encode_and_read(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
@@ -29,6 +33,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bit_packing, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op4_bit_packing, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
 
 ORACLES = {"op10_quality_rules": quality_rules.ORACLE}

@@ -152,6 +152,14 @@ def links(nodes: DataFrame, distance: int = 4, segments=SEGMENTS, block: int = B
             flips = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i, x=here: F.call_function("getbit", x, i) == 0)
             keys.append(F.transform(flips, lambda i, x=here: F.struct(x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).alias("bucket"), F.lit(1).alias("stored"))))
     rows = nodes.select("fp", F.explode(F.concat(*keys)).alias("k")).select("k.bucket", "k.stored", "fp")
+    return spanning(rows, distance, block)
+
+
+def spanning(rows: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): close pairs among ``rows`` (bucket, stored, fp) that span all components.
+
+    Of the rows of a bucket those with stored = 0 are compared with all others.
+    """
     full = rows.where("stored = 0").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
     parts = F.when(F.col("n").isNull(), F.lit(1)).otherwise(F.ceil(F.col("n") / block)).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("parts"))

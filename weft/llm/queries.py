@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, line_dedup, quality_rules, simhash_mih, tier_packing, wu_manber
+from . import bitpack, line_dedup, quality_rules, secret_link, simhash_mih, tier_packing, wu_manber
 from .common import table
 from .tokens import vocabulary_path
 
@@ -17,6 +17,10 @@ def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.encode_and_read(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_secret_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_link.report(table(spark, sf_dir, "documents"))
+
+
 def op7_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
 
@@ -33,6 +37,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op4_bit_packing, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op4_bit_packing, op6_secret_link, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
 
 ORACLES = {"op10_quality_rules": quality_rules.ORACLE}

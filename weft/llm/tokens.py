@@ -24,6 +24,10 @@ PLAIN = {
 #: White space runs that make the division at single spaces unsafe.
 RUNS = re.compile(r"[ \n][ \n]|^ | $")
 
+#: Byte-level tokenizers write printable Latin-1 bytes as themselves, the others from U+0100 on.
+_OTHER = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_LEVEL = {b: 256 + n for n, b in enumerate(_OTHER)}
+
 
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
@@ -50,12 +54,15 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _pieces(self, needed: set[str]) -> None:
-        """Make sure that the ids of all ``needed`` pre-tokens are at hand."""
+        """Make sure that the ids of all ``needed`` pre-tokens are at hand; the library's model
+        merges each, as it does for the pre-tokens of a whole text."""
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        if missing := sorted(needed - self.pieces.keys()):
-            for piece, enc in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.pieces[piece] = np.array(enc.ids, dtype="<u4").tobytes()
+        if missing := [p for p in needed if p not in self.pieces]:
+            merge = self.tok.model.tokenize
+            for piece in missing:
+                mapped = piece.encode().decode("latin-1").translate(BYTE_LEVEL)
+                self.pieces[piece] = np.array([t.id for t in merge(mapped)], dtype="<u4").tobytes()
 
     def _joined(self, pieces: list[str]) -> bytes:
         self._pieces(set(pieces))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitpack, line_dedup, quality_rules, secret_link, simhash_mih, tier_packing, wu_manber
+from . import bitpack, edit_counts, html_diff, line_dedup, quality_rules, secret_link, simhash_mih, tier_packing, wu_manber
 from .common import table
 from .tokens import vocabulary_path
 
@@ -13,10 +14,19 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op3_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.encode_and_read(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
+def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return edit_counts.recount(docs, edit_counts.redactions(F.col("text")), vocabulary_path("byte_bpe_50k.json"))
+
+
 def op6_secret_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_link.report(table(spark, sf_dir, "documents"))
 
@@ -37,6 +47,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op4_bit_packing, op6_secret_link, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op3_url_differencing, op4_bit_packing, op5_edit_counts, op6_secret_link, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
 
 ORACLES = {"op10_quality_rules": quality_rules.ORACLE}

@@ -29,11 +29,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark deletes a query's shuffle files at its end instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    The shuffle files behind it go as soon as the table is complete.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df_or_path, spark: SparkSession | None = None) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, edit_counts, html_diff, line_dedup, quality_rules, secret_link, simhash_mih, tier_packing, wu_manber
+from . import bitpack, edit_counts, html_diff, line_dedup, quality_rules, secret_link, simhash_mih, suffix_dedup, tier_packing, wu_manber
 from .common import table
 from .tokens import vocabulary_path
 
@@ -14,6 +14,10 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op2_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op3_url_differencing, op4_bit_packing, op5_edit_counts, op6_secret_link, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_induced_sorting, op3_url_differencing, op4_bit_packing, op5_edit_counts, op6_secret_link, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules)}
 
 ORACLES = {"op10_quality_rules": quality_rules.ORACLE}

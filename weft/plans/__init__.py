@@ -1,4 +1,6 @@
 """Registered queries over the standard tables, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import activity, coupling, graph, series, text, vectors  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

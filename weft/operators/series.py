@@ -9,24 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("series").orderBy("t")
+def _w():
+    return Window.partitionBy("series").orderBy("t")
 
 
 def derivative(df: DataFrame) -> DataFrame:
     """(series, t, y, d1, d2): first difference and centred second difference."""
-    return df.select("series", "t", "y", (F.col("y") - F.lag("y").over(W)).alias("d1"), (F.lead("y").over(W) - 2 * F.col("y") + F.lag("y").over(W)).alias("d2"))
+    return df.select("series", "t", "y", (F.col("y") - F.lag("y").over(_w())).alias("d1"), (F.lead("y").over(_w()) - 2 * F.col("y") + F.lag("y").over(_w())).alias("d2"))
 
 
 def central_slope(df: DataFrame) -> DataFrame:
     """(series, t, slope): (y after - y before) / (t after - t before), one-sided at the ends."""
-    up, low = F.coalesce(F.lead("y").over(W), F.col("y")), F.coalesce(F.lag("y").over(W), F.col("y"))
-    tu, tl = F.coalesce(F.lead("t").over(W), F.col("t")), F.coalesce(F.lag("t").over(W), F.col("t"))
+    up, low = F.coalesce(F.lead("y").over(_w()), F.col("y")), F.coalesce(F.lag("y").over(_w()), F.col("y"))
+    tu, tl = F.coalesce(F.lead("t").over(_w()), F.col("t")), F.coalesce(F.lag("t").over(_w()), F.col("t"))
     return df.select("series", "t", up.alias("u"), low.alias("l"), tu.alias("tu"), tl.alias("tl")).select("series", "t", F.when(F.col("tu") > F.col("tl"), (F.col("u") - F.col("l")) / (F.col("tu") - F.col("tl"))).otherwise(0.0).alias("slope"))
 
 
 def integral(df: DataFrame) -> DataFrame:
     """(series, area): trapezoids."""
-    step = (F.col("y") + F.lag("y").over(W)) / 2 * (F.col("t") - F.lag("t").over(W))
+    step = (F.col("y") + F.lag("y").over(_w())) / 2 * (F.col("t") - F.lag("t").over(_w()))
     return df.select("series", step.alias("a")).groupBy("series").agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
 
 
@@ -38,7 +39,7 @@ def peak(df: DataFrame) -> DataFrame:
 def half_life(df: DataFrame) -> DataFrame:
     """(series, half_t): first crossing of half the peak after it, interpolated; null if none."""
     p = peak(df)
-    after = df.select("series", "t", "y", F.lag("t").over(W).alias("t0"), F.lag("y").over(W).alias("y0")).join(p, "series").where("t > peak_t and y <= peak_y / 2 and y0 > peak_y / 2")
+    after = df.select("series", "t", "y", F.lag("t").over(_w()).alias("t0"), F.lag("y").over(_w()).alias("y0")).join(p, "series").where("t > peak_t and y <= peak_y / 2 and y0 > peak_y / 2")
     at = F.col("t0") + (F.col("y0") - F.col("peak_y") / 2) / (F.col("y0") - F.col("y")) * (F.col("t") - F.col("t0"))
     found = after.groupBy("series").agg(F.min_by(at, "t").alias("half_t"))
     return p.select("series").join(found, "series", "left")
@@ -56,15 +57,15 @@ def log_log_fit(df: DataFrame) -> DataFrame:
 
 def regime_changes(df: DataFrame, span: int = 8, z: float = 2.0) -> DataFrame:
     """(series, t, z): differences that stand ``z`` deviations off the previous ``span`` ones."""
-    past = W.rowsBetween(-span, -1)
-    d = df.select("series", "t", (F.col("y") - F.lag("y").over(W)).alias("d")).where("d is not null")
+    past = _w().rowsBetween(-span, -1)
+    d = df.select("series", "t", (F.col("y") - F.lag("y").over(_w())).alias("d")).where("d is not null")
     scored = d.select("series", "t", "d", F.avg("d").over(past).alias("m"), F.stddev_pop("d").over(past).alias("s"), F.count("d").over(past).alias("n"))
     return scored.where((F.col("n") == span) & (F.col("s") > 0)).select("series", "t", ((F.col("d") - F.col("m")) / F.col("s")).alias("z")).where(F.abs("z") >= z)
 
 
 def ar2(df: DataFrame, ridge: float = 1e-9) -> DataFrame:
     """(series, n, a1, a2): ridge least squares of y on its two predecessors, by Cramer's rule."""
-    rows = df.select("series", "y", F.lag("y", 1).over(W).alias("p"), F.lag("y", 2).over(W).alias("q")).where("q is not null")
+    rows = df.select("series", "y", F.lag("y", 1).over(_w()).alias("p"), F.lag("y", 2).over(_w()).alias("q")).where("q is not null")
     s = rows.groupBy("series").agg(F.count("*").alias("n"), *(F.sum(F.col(x) * F.col(y)).alias(x + y) for x, y in ("pp", "pq", "qq", "py", "qy")))
     det = (F.col("pp") + ridge) * (F.col("qq") + ridge) - F.col("pq") * F.col("pq")
     return s.select("series", "n", ((F.col("py") * (F.col("qq") + ridge) - F.col("qy") * F.col("pq")) / det).alias("a1"), ((F.col("qy") * (F.col("pp") + ridge) - F.col("py") * F.col("pq")) / det).alias("a2"))
@@ -79,19 +80,19 @@ def forecast(df: DataFrame, last: int = 12, ahead: int = 1) -> DataFrame:
 
 def path_speed(df: DataFrame, span: int = 5) -> DataFrame:
     """(series, t, speed): mean size of the last steps."""
-    step = df.select("series", "t", F.abs(F.col("y") - F.lag("y").over(W)).alias("d"))
-    return step.select("series", "t", F.avg("d").over(W.rowsBetween(1 - span, 0)).alias("speed"))
+    step = df.select("series", "t", F.abs(F.col("y") - F.lag("y").over(_w())).alias("d"))
+    return step.select("series", "t", F.avg("d").over(_w().rowsBetween(1 - span, 0)).alias("speed"))
 
 
 def transitions(df: DataFrame, label: str = "label") -> DataFrame:
     """(series, t, before, after): where a label changes."""
-    return df.select("series", "t", F.lag(label).over(W).alias("before"), F.col(label).alias("after")).where("before <> after")
+    return df.select("series", "t", F.lag(label).over(_w()).alias("before"), F.col(label).alias("after")).where("before <> after")
 
 
 def autocorrelation_length(df: DataFrame, cap: int = 32) -> DataFrame:
     """(series, length): the first lag whose centred autocorrelation is not positive."""
     mean = Window.partitionBy("series")
-    c = df.select("series", F.row_number().over(W).alias("k"), (F.col("y") - F.avg("y").over(mean)).alias("c"), F.count("*").over(mean).alias("n"))
+    c = df.select("series", F.row_number().over(_w()).alias("k"), (F.col("y") - F.avg("y").over(mean)).alias("c"), F.count("*").over(mean).alias("n"))
     lagged = c.select("series", F.explode(F.sequence(F.lit(1), F.lit(cap))).alias("lag"), F.col("k"), F.col("c").alias("c2"), "n").where("lag <= n div 2").select("series", "lag", (F.col("k") + F.col("lag")).alias("k"), "c2")
     products = c.join(lagged, ["series", "k"]).groupBy("series", "lag").agg(F.sum(F.col("c") * F.col("c2")).alias("r"))
     first = products.where("r <= 0").groupBy("series").agg(F.min("lag").alias("first"))
@@ -109,7 +110,7 @@ def knee(df: DataFrame) -> DataFrame:
 
 def max_gap(df: DataFrame) -> DataFrame:
     """(series, gap_t, gap): the largest step to the next value."""
-    step = df.select("series", "t", (F.lead("y").over(W) - F.col("y")).alias("g")).where("g is not null")
+    step = df.select("series", "t", (F.lead("y").over(_w()) - F.col("y")).alias("g")).where("g is not null")
     return step.groupBy("series").agg(F.min_by("t", F.struct(-F.col("g"), "t")).alias("gap_t"), F.max("g").alias("gap"))
 
 
@@ -138,7 +139,7 @@ def moments(df: DataFrame) -> DataFrame:
 def spectrum(df: DataFrame) -> DataFrame:
     """(series, k, magnitude): DFT magnitudes of each series, for k up to half its length."""
     n = F.count("*").over(Window.partitionBy("series"))
-    rows = df.select("series", (F.row_number().over(W) - 1).alias("j"), "y", n.alias("n"))
+    rows = df.select("series", (F.row_number().over(_w()) - 1).alias("j"), "y", n.alias("n"))
     angle = -2 * 3.141592653589793 * F.col("k") * F.col("j") / F.col("n")
     each = rows.select("*", F.explode(F.sequence(F.lit(0), F.expr("n div 2"))).alias("k"))
     return each.groupBy("series", "k").agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), F.sum(F.col("y") * F.sin(angle)).alias("im")).select("series", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))
@@ -146,7 +147,7 @@ def spectrum(df: DataFrame) -> DataFrame:
 
 def consecutive_jaccard(df: DataFrame, members: str = "members") -> DataFrame:
     """(series, t, jaccard) of each set with the one before; two empty sets have 0."""
-    pair = df.select("series", "t", F.col(members).alias("m"), F.lag(members).over(W).alias("p")).where("p is not null")
+    pair = df.select("series", "t", F.col(members).alias("m"), F.lag(members).over(_w()).alias("p")).where("p is not null")
     union = F.size(F.array_union("m", "p"))
     return pair.select("series", "t", F.when(union > 0, F.size(F.array_intersect("m", "p")) / union).otherwise(0.0).alias("jaccard"))
 

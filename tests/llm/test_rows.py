@@ -1,0 +1,172 @@
+"""Row-wise operators against brute force: quality rules, secrets, counts, packing, output."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from weft.llm import bitpack, edit_counts, quality_rules, secret_link, tier_packing
+from weft.llm.tokens import Encoder, vocabulary_path
+
+
+def multiset(rows):
+    return collections.Counter(map(tuple, rows))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cached_encoder_is_the_library(name, corpus):
+    tok, enc = Tokenizer.from_file(vocabulary_path(name)), Encoder(vocabulary_path(name), limit=40)
+    for text in [t or "" for _, t in corpus] + ["It's  don't 12 34é!?", "\tx y", " lead", "\n\nx", "a\n b", "İstanbul ŉ ſ"]:
+        assert enc.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    hit = {i + k for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for k in range(5)}
+    n = len(words)
+    return n, sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), n < 10 or 100 * len(hit) > 20 * n
+
+
+def test_quality_rules(docs, corpus, empty):
+    got = quality_rules.judge(docs).collect()
+    assert multiset(r[:7] for r in got) == multiset((i, *brute_quality(t)) for i, t in corpus)
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert 0 in kept and not any(r["kept"] and r["base_failed"] for r in got)
+    assert not {r["doc_id"] for r in got if r["n_symbols"] * 10 > r["n_words"]} & kept
+    survivors = quality_rules.keep_good(docs)
+    assert survivors.columns == docs.columns and survivors.count() == sum(r["kept"] for r in got)
+    assert quality_rules.judge(empty).count() == 0
+
+
+def test_rule_order_puts_rejection_per_cost_first(docs):
+    rules = quality_rules.order_rules(docs, (quality_rules.Rule("never", "false"), quality_rules.Rule("always", "true")))
+    assert rules[0].name == "always"
+
+
+def test_secrets(docs, corpus, empty):
+    got = secret_link.report(docs).collect()
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    want = []
+    for i, text in corpus:
+        text = text or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        joined = ",".join(f"{secret_link.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        want.append((i, *(sum(k == n for _, k, _ in spans) for n in range(3)), hashlib.sha256(joined.encode()).hexdigest()))
+    assert multiset(r[:5] for r in got) == multiset(want)
+    linked = next(r["spans"] for r in got if r["n_access"])
+    assert "endpoint:" in linked and "secret:" in linked
+    assert secret_link.report(empty).count() == 0
+
+
+def test_weak_parts_alone_stay_unreported(spark):
+    rows = [(1, "see https://host.example/x for more"), (2, "Ab3dEf6hIj9kLm2nOp5q alone"), (3, "https://host.example " + "x " * 300 + "Ab3dEf6hIj9kLm2nOp5q")]
+    assert {r["spans"] for r in secret_link.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {""}
+
+
+def test_bit_packing_round_trip():
+    rng = np.random.default_rng(1)
+    for bits in (1, 7, 15, 16, 17, 20, 32):
+        ids = rng.integers(0, 1 << bits, 1000, dtype=np.uint64).astype(np.uint32)
+        assert (bitpack.unpack(bitpack.pack(ids, bits), bits, 1000) == ids).all()
+    assert [bitpack.width(n) for n in (2, 3, 49408, 50257, 65536, 65537)] == [1, 2, 16, 16, 16, 17]
+
+
+def test_random_access(tmp_path):
+    ids = [np.arange(n, dtype=np.uint32) % 1000 for n in (5, 0, 70, 3)]
+    with open(tmp_path / "body", "wb") as f:
+        writer = bitpack.ShardWriter(f, 10, block=16)
+        for k, x in enumerate(ids):
+            writer.add(k, x)
+        head = writer.close()
+    data = bytearray((tmp_path / "body").read_bytes())
+    data[: len(head)] = head
+    (tmp_path / "whole").write_bytes(data)
+    with open(tmp_path / "whole", "rb") as f:
+        reader = bitpack.ShardReader(f)
+        for k in (2, 0, 3, 1):
+            assert (reader.document(k) == ids[k]).all()
+
+
+def test_token_output(docs, corpus, empty):
+    path = vocabulary_path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    ordered = sorted(corpus, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    want, at = [], 0
+    for i, t in ordered:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert multiset(bitpack.encode_and_read(docs, path).collect()) == multiset(want)
+    assert bitpack.encode_and_read(empty, path).count() == 0
+
+
+def test_packing(docs, corpus, empty):
+    path = vocabulary_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = tier_packing.pack(docs, path).collect()
+    ids = collections.defaultdict(list)
+    for i, t in corpus:
+        ids[i].append([*tok.encode(t or "", add_special_tokens=False).ids, 0])
+    assert sum(r["length"] for r in rows) == sum(len(x) for xs in ids.values() for x in xs)
+    windows = collections.defaultdict(list)
+    for r in rows:
+        assert any(len(x) == r["doc_tokens"] and zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for x in ids[r["doc_id"]])
+        windows[r["sequence_id"]].append((r["offset"], r["length"], r["tier"]))
+    for pieces in windows.values():
+        at = 0
+        for offset, length, tier in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= tier <= 1024 and tier & (tier - 1) == 0
+    assert tier_packing.pack(empty, path).count() == 0
+
+
+def test_plan_covers_every_token_once_and_wastes_little():
+    rng = random.Random(3)
+    lengths = [rng.choice([1, 2, 30, 63, 64, 65, 500, 1023, 1024, 1025, 5000]) for _ in range(400)]
+    windows = tier_packing.plan(lengths)
+    seen = collections.Counter((d, s + k) for _, _, w in windows for d, s, n in w for k in range(n))
+    assert len(seen) == sum(lengths) == sum(seen.values())
+    assert sum(t for t, _, _ in windows) - sum(lengths) < 64
+    load = collections.Counter()
+    for t, g, _ in windows:
+        load[g] += t
+    assert max(load.values()) - min(load.values()) <= 1024
+
+
+def test_edit_counts(docs, corpus, empty):
+    path = vocabulary_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    whole = re.compile("|".join(f"({p})" for p, _ in edit_counts.REDACTIONS), re.A)
+    want = []
+    for i, t in corpus:
+        after = whole.sub(lambda m: edit_counts.REDACTIONS[m.lastindex - 1][1], t or "")
+        want.append((i, n(t or ""), len(whole.findall(t or "")), n(after), len(after)))
+    got = edit_counts.recount(docs, edit_counts.redactions(F.col("text")), path).collect()
+    assert multiset((r["doc_id"], r["n_tokens"], r["n_edits"], r["n_tokens_after"], r["n_chars_after"]) for r in got) == multiset(want)
+    assert edit_counts.recount(empty, edit_counts.redactions(F.col("text")), path).count() == 0
+
+
+def test_trees_follow_random_edits(corpus):
+    rng, enc = random.Random(5), Encoder(vocabulary_path("byte_bpe_50k.json"))
+    count = lambda s: len(enc.encode(s))
+    for _, text in corpus[:30]:
+        tree, now = edit_counts.CountTree(text, count, 32), text
+        for _ in range(15):
+            a = rng.randint(0, len(now))
+            b = min(len(now), a + rng.choice([0, 1, 5, 200]))
+            word = rng.choice(["", " ", "  ", "\n", "x", "a b", ". "])
+            tree.edit(a, b, word)
+            now = now[:a] + word + now[b:]
+            assert (tree.text(), tree.tokens, tree.chars) == (now, count(now), len(now))

@@ -147,7 +147,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                     name = f"{root}/.{shard:06d}.{uuid.uuid4().hex}"
                     sink = files.open_output_stream(f"{name}.body")
                     writer = ShardWriter(sink, bits, block)
-                writer.add(None if pd.isna(doc_id) else int(doc_id), np.append(enc.encode(text or ""), np.uint32(end_id)))
+                writer.add(None if doc_id is None else int(doc_id), np.append(enc.encode(text or ""), np.uint32(end_id)))
                 n += 1
         if writer is not None:
             head = writer.close()
@@ -164,9 +164,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
             yield pd.DataFrame({"shard": [shard], "path": [f"shard-{shard:06d}.bits"], "n_docs": [n], "n_ids": [writer.n]})
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .select(common.id_text(), "text")
     )
     return ordered.mapInPandas(task, "shard long, path string, n_docs long, n_ids long")
 

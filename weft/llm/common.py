@@ -5,13 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_text(name: str = "doc_id") -> Column:
+    """An id on its way to pandas: long columns with nulls become floats there and lose digits."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def longs(ids) -> pd.api.extensions.ExtensionArray:
+    """Ids back from :func:`id_text`."""
+    return pd.array([None if x is None else int(x) for x in ids], "Int64")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 

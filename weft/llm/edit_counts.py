@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_text, longs
 from .tokens import encoder
 
 SCHEMA = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, n_reencoded long, n_leaves long"
@@ -172,8 +173,8 @@ def recount(docs: DataFrame, edits: Column, tokenizer: str, leaf: int = 256) ->
                     tree.edit(int(s), int(e), r or "")
                 out.append((before, len(starts), tree.tokens, tree.chars, tree.reencoded, len(tree.leaves)))
             names = ["n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_reencoded", "n_leaves"]
-            yield pd.DataFrame(out, columns=names).assign(doc_id=batch["doc_id"])
+            yield pd.DataFrame(out, columns=names).assign(doc_id=longs(batch["doc_id"]))
 
     given = F.coalesce(edits, F.array().cast("array<struct<s:int,e:int,r:string>>"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), given.alias("x"))
+    rows = docs.select(id_text(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), given.alias("x"))
     return rows.select("doc_id", "text", "x.s", "x.e", "x.r").mapInPandas(task, SCHEMA)

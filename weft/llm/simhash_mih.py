@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .common import written
+from .common import id_text, longs, written
 
 #: (first bit, bits, radius): distances (2, 2, 1) or more in all would be five.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
@@ -63,14 +63,14 @@ def fingerprints(rows: DataFrame, size: int = 4) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, size) for t in batch["text"]], np.uint64).view(np.int64)
-            yield batch.drop(columns="text").assign(fp=fp)
+            yield batch.drop(columns="text").assign(doc_id=longs(batch["doc_id"]), fp=fp)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    fields = ", ".join(f"`{name}` long" for name in rows.columns if name != "text")
     return rows.mapInPandas(task, f"{fields}, fp long")
 
 
 def _plain(docs: DataFrame, *more) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(id_text(), *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _runs(distance: int, forest_limit: int = 1_000_000, slice_pairs: int = 1_000_000):
@@ -140,6 +140,13 @@ def _runs(distance: int, forest_limit: int = 1_000_000, slice_pairs: int = 1_000
 BLOCK = 4096
 
 
+def _ball(segment: Column, bits: int) -> Column:
+    """The segment's neighbours with one zero of its lowest ``bits`` set."""
+    zeros = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("getbit", segment, i) == 0)
+    one = F.lit(1).cast("long")
+    return F.transform(zeros, lambda i: F.struct(segment.bitwiseOR(F.call_function("shiftleft", one, i)).alias("bucket"), F.lit(1).alias("stored")))
+
+
 def links(nodes: DataFrame, distance: int = 4, segments=SEGMENTS, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that span all components."""
     if sum(r + 1 for _, _, r in segments) <= distance or any(r > 1 for _, _, r in segments):
@@ -149,8 +156,7 @@ def links(nodes: DataFrame, distance: int = 4, segments=SEGMENTS, block: int = B
         here = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(k << 56))
         keys.append(F.array(F.struct(here.alias("bucket"), F.lit(0).alias("stored"))))
         if radius:
-            flips = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i, x=here: F.call_function("getbit", x, i) == 0)
-            keys.append(F.transform(flips, lambda i, x=here: F.struct(x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).alias("bucket"), F.lit(1).alias("stored"))))
+            keys.append(_ball(here, bits))
     rows = nodes.select("fp", F.explode(F.concat(*keys)).alias("k")).select("k.bucket", "k.stored", "fp")
     return spanning(rows, distance, block)
 

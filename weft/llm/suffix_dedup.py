@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import id_text, longs, remove, written
 from .induced_sort import descending
 
 LENGTH, GRAM = 200, 40
@@ -87,7 +87,7 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
 
 def _numbered(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("data"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), id_text(), text.alias("data"))
 
 
 def _windows(length: int, gram: int):
@@ -235,6 +235,6 @@ def digests(docs: DataFrame, **options) -> DataFrame:
                 cut = merged(zip(low.tolist(), high.tolist(), strict=True)) if low is not None else []
                 rest = kept_bytes(data, cut)
                 out.append((len(data), len(data) - len(rest), len(cut), hashlib.sha256(rest).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(doc_id=batch["doc_id"])
+            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(doc_id=longs(batch["doc_id"]))
 
     return _numbered(docs).join(spans, "row", "left").select("doc_id", "data", "spans.low", "spans.high").mapInPandas(task, SCHEMA)

@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_text, longs
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024,
                 rows.append((doc, start, size, zlib.crc32(data[doc][4 * start : 4 * (start + size)]), len(ids[doc]), base + k, offset, tier, group_base + g))
                 offset += size
         out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
-        out["doc_id"] = pd.array([names[d] for d in out["doc_id"]], "Int64")
+        out["doc_id"] = longs(names[d] for d in out["doc_id"])
         return out, base + len(windows), group_base + 1 + max(g for _, g, _ in windows)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024,
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids.append(np.append(enc.encode(text or ""), np.uint32(end_id)).astype("<u4"))
-                names.append(None if pd.isna(doc_id) else int(doc_id))
+                names.append(doc_id)
                 held += len(ids[-1])
                 if held >= lot_tokens:
                     out, base, group_base = lot(ids, names, base, group_base)
@@ -158,4 +159,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024,
         if ids:
             yield lot(ids, names, base, group_base)[0]
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(task, SCHEMA)
+    return docs.select(id_text(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(task, SCHEMA)

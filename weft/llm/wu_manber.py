@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import id_text, longs, written
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 PARTS = "row long, doc_id long, n_words long, spans array<array<long>>, items array<string>"
@@ -125,7 +125,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = 50
     sc = docs.sparkSession.sparkContext
     patterns = written(windows(benchmark, window), "windows")
     n_sets = max(1, -(-patterns.count() // most))
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), id_text(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def chosen(k: int):
         rows = patterns.where(F.pmod(F.xxhash64("window"), F.lit(n_sets)) == k)
@@ -137,7 +137,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = 50
             for batch in batches:
                 out = [(d, *_figures(*scan(t, searched))) for d, t in zip(batch["doc_id"], batch["text"], strict=True)]
                 out = pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-                yield out.assign(doc_id=batch["doc_id"])
+                yield out.assign(doc_id=longs(batch["doc_id"]))
 
         return task
 
@@ -146,14 +146,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = 50
             searched = tables(rows.value)
             for batch in batches:
                 found = [scan(t, searched) for t in batch["text"]]
-                yield batch[["row", "doc_id"]].assign(n_words=[n for n, _, _ in found], spans=[[list(s) for s in spans] for _, spans, _ in found], items=[sorted(i) for _, _, i in found])
+                yield batch[["row"]].assign(doc_id=longs(batch["doc_id"]), n_words=[n for n, _, _ in found], spans=[[list(s) for s in spans] for _, spans, _ in found], items=[sorted(i) for _, _, i in found])
 
         return task
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [_figures(n, merge(s), set(i)) for n, s, i in zip(batch["n_words"], batch["spans"], batch["items"], strict=True)]
-            yield pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]).assign(doc_id=batch["doc_id"])
+            yield pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]).assign(doc_id=longs(batch["doc_id"]))
 
     if n_sets == 1:
         return docs.mapInPandas(one(chosen(0)), SCHEMA)
@@ -161,7 +161,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = 50
     for k in range(n_sets):
         more = written(docs.mapInPandas(part(chosen(k)), PARTS), "hits")
         found = more if found is None else found.union(more)
-    whole = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    whole = found.groupBy("row").agg(F.first("doc_id").cast("string").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     return whole.mapInPandas(joined, SCHEMA)
 
 

@@ -194,7 +194,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     """(row, spans): for each row that loses bytes, array<struct<low, high>> of its bytes."""
     texts = _numbered(docs)
     windows = written(texts.select("row", "data").mapInPandas(_windows(length, gram), "key long, row long, start int, size int"), "windows", "zstd")
-    again = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written, so that both sides of the join come from a plain shuffle and a key that very many
+    # windows share can be split over tasks.
+    again = written(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again", "zstd")
     own = windows.join(again, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("key", "start", "size")).alias("own"))
     cut = written(texts.join(written(own, "own", "zstd"), "row").select("row", "data", "own").mapInPandas(_cut(length), "key long, row long, start int, digest binary, piece binary"), "pieces", "zstd")
     distinct = cut.groupBy("key", "digest").agg(F.first("piece").alias("piece"), F.count("*").alias("n"))

@@ -1,6 +1,6 @@
 """Registered queries over the standard tables, with the SQL that must give the same rows."""
 
-from . import activity, coupling, evidence, graph, series, text, vectors  # noqa: F401
+from . import activity, coupling, evidence, graph, rollups, series, text, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -160,7 +160,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                     whole.write(piece)
             files.delete_file(f"{name}.body")
             path = f"{root}/shard-{shard:06d}.bits"
-            files.move(f"{name}.whole", path)
+            if files.get_file_info(path).type == pafs.FileType.NotFound:
+                files.move(f"{name}.whole", path)
+            else:  # another attempt was first; its rows, and so its bytes, are the same
+                files.delete_file(f"{name}.whole")
             yield pd.DataFrame({"shard": [shard], "path": [f"shard-{shard:06d}.bits"], "n_docs": [n], "n_ids": [writer.n]})
 
     ordered = (

@@ -106,6 +106,10 @@ def test_edit_similarity():
         return row[-1]
 
     rng = random.Random(4)
+    for _ in range(300):
+        a, b = (" ".join(rng.choices(["ab", "c", "dab", "bb"], k=rng.randint(4, 9))) for _ in range(2))
+        for s in (0.3, 0.5):
+            assert line_dedup.edit_similar(a, b, s) == (levenshtein(a, b) <= int((1 - s) * max(len(a), len(b)) + 1e-9))
     for _ in range(2000):
         a, b = ("".join(rng.choices("abc", k=rng.randint(1, 14))) for _ in range(2))
         s = rng.choice([0.3, 0.5, 0.8])

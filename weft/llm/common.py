@@ -24,6 +24,18 @@ def longs(ids) -> pd.api.extensions.ExtensionArray:
     return pd.array([None if x is None else int(x) for x in ids], "Int64")
 
 
+def row_number(docs: DataFrame) -> Column:
+    """The row's number in ``docs``, the same at every read of a table.
+
+    Spark cuts small files by the cores it has at that moment, so losing an executor between two
+    reads would deal the numbers anew.  The present count is kept for the session if none is set.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .common import id_text, longs, written
+from .common import id_text, longs, row_number, written
 
 #: (first bit, bits, radius): distances (2, 2, 1) or more in all would be five.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
@@ -206,7 +206,7 @@ def keep_one(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
 
     Among rows of equal doc_id the first in the table's order stays.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = docs.withColumn("__row", row_number(docs))
     fps = written(fingerprints(_plain(numbered, "__row"), size), "fingerprints")
     group = _grouped(fps, distance)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, longs, remove, written
+from .common import id_text, longs, remove, row_number, written
 from .induced_sort import descending
 
 LENGTH, GRAM = 200, 40
@@ -87,7 +87,7 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
 
 def _numbered(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.monotonically_increasing_id().alias("row"), id_text(), text.alias("data"))
+    return docs.select(row_number(docs).alias("row"), id_text(), text.alias("data"))
 
 
 def _windows(length: int, gram: int):

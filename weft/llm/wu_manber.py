@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, longs, written
+from .common import id_text, longs, row_number, written
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 PARTS = "row long, doc_id long, n_words long, spans array<array<long>>, items array<string>"
@@ -125,7 +125,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = 50
     sc = docs.sparkSession.sparkContext
     patterns = written(windows(benchmark, window), "windows")
     n_sets = max(1, -(-patterns.count() // most))
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), id_text(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(row_number(docs).alias("row"), id_text(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def chosen(k: int):
         rows = patterns.where(F.pmod(F.xxhash64("window"), F.lit(n_sets)) == k)

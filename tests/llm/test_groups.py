@@ -8,6 +8,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weft.llm import components, html_diff, line_dedup, simhash_mih, suffix_dedup, wu_manber
 from weft.llm.induced_sort import descending
@@ -87,12 +88,27 @@ def test_all_links_within_four_bits_are_found(spark):
 def test_line_simhash_by_hand():
     import xxhash
 
-    lines = [[b"a", b"b", b"c"], [b"x"] * 300 + [b"y"] * 301, [b"z"]]
-    want = []
-    for line in lines:
-        hashes = [xxhash.xxh64_intdigest(w) for w in line]
-        want.append(sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(line)))
-    assert line_dedup.word_simhash(lines).view(np.uint64).tolist() == want
+    lines = [[b"a", b"b", b"c"], [b"x"] * 300 + [b"y"] * 301, [b"z"], [b"w%d" % k for k in range(700)], [b"q%d" % k for k in range(9)]]
+
+    def simhash(words):
+        hashes = [xxhash.xxh64_intdigest(w) for w in words]
+        return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(words))
+
+    prints, keys = line_dedup.line_prints(lines)
+    assert prints.view(np.uint64).tolist() == [simhash(line) for line in lines]
+    assert not keys[0].any() and not keys[2].any()  # too short for fuzzy links
+    mixed = lambda words: (h := sum(map(xxhash.xxh64_intdigest, words)) % 2**64, (h ^ h >> 31) * 0xD6E8FEB86659FD93 % 2**64)[1]
+    runs = {mixed(line[a:b]) for line in lines for a in range(len(line)) for b in range(a + 3, min(len(line), a + 60) + 1) if len(line) < 20 or b - a > 3}
+    assert {k for k in keys[3:].view(np.uint64).ravel().tolist() if k} <= runs and keys[3:].any(axis=1).all()
+
+
+def test_blocks_do_not_depend_on_other_lines():
+    rng = random.Random(9)
+    lines = [[b"%x" % rng.getrandbits(12) for _ in range(rng.randint(1, 60))] for _ in range(200)]
+    prints, keys = line_dedup.line_prints(lines)
+    for k, line in enumerate(lines):
+        own, mine = line_dedup.line_prints([line])
+        assert own[0] == prints[k] and (mine[0] == keys[k]).all()
 
 
 def test_edit_similarity():
@@ -116,30 +132,67 @@ def test_edit_similarity():
         assert line_dedup.edit_similar(a, b, s) == (levenshtein(a, b) <= int((1 - s) * max(len(a), len(b)) + 1e-9))
 
 
-def test_fuzzy_lines(docs, corpus, empty):
-    table = [(r["row"], r["doc_id"], r["text"]) for r in line_dedup.text_of(docs).collect()]
+def brute_lines(table):
+    """{row: numbers of the lines to remove}, by comparing all pairs of lines that share a key."""
     table.sort(key=lambda x: (x[1] is None, x[1] or 0, x[0]))
     found = []
     for row, _, text in table:
         for k, line in enumerate(text.split("\n")):
             norm = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", line.lower()).strip(" ")
-            if norm.count(" ") >= 4:
+            if norm:
                 found.append((row, k, norm))
     names = sorted({x[2] for x in found})
-    prints = line_dedup.word_simhash([n.encode().split(b" ") for n in names]).view(np.uint64)
-    links = [(i, j) for i in range(len(names)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 3 and line_dedup.edit_similar(names[i], names[j], 0.8)]
+    prints, keys = line_dedup.line_prints([n.encode().split(b" ") for n in names])
+    prints, keys = prints.view(np.uint64), [set(k.tolist()) - {0} for k in keys]
+    links = [(i, j) for i in range(len(names)) for j in range(i) if keys[i] & keys[j] and int(prints[i] ^ prints[j]).bit_count() <= 12 and line_dedup.edit_similar(names[i], names[j], 0.8)]
     group, seen, gone = roots(len(names), links), set(), collections.defaultdict(list)
     at = {n: k for k, n in enumerate(names)}
     for row, k, norm in found:
         if group[at[norm]] in seen:
             gone[row].append(k)
         seen.add(group[at[norm]])
+    return gone
+
+
+def test_fuzzy_lines(spark, docs, corpus, empty):
+    table = [(r["row"], r["doc_id"], r["text"]) for r in line_dedup.text_of(docs).collect()]
+    gone = brute_lines(table)
     assert {r["row"]: r["lines"] for r in line_dedup.removed_lines(docs).collect()} == gone and gone
+    assert {r["row"]: r["lines"] for r in line_dedup.removed_lines(docs, block=2).collect()} == gone
     out = line_dedup.without_repeats(docs)
     assert out.columns == docs.columns
     want = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[row]) for row, _, t in table]
     assert collections.Counter(r["text"] or "" for r in out.collect()) == collections.Counter(want)
-    assert line_dedup.decisions(empty).count() == 0
+    assert all(r["n_chars"] == len(r["text"] or "") for r in out.collect())
+    rows = [(i, t.count("\n") + 1, len(gone[row]), gone[row]) for row, i, t in table]
+    assert collections.Counter((r[0], r[1], r[2], tuple(r[3])) for r in line_dedup.decisions(docs).collect()) == collections.Counter((*r[:3], tuple(r[3])) for r in rows)
+    assert line_dedup.decisions(empty).count() == line_dedup.without_repeats(empty).count() == 0
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("__row", F.lit(5))
+    assert line_dedup.without_repeats(odd).columns == odd.columns
+
+
+def test_short_lines_go_only_when_equal(spark):
+    rows = [(1, "See also\nSee  ALSO!\nSee alsos\n\n\n...\nx"), (2, "x\n"), (3, "y" * 3_000_000 + "\nx")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [1], 2: [0], 3: [1]}
+
+
+def test_similar_lines_are_found():
+    """Recall of the candidates against edit similarity alone, on lines with words changed."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    pairs = found = 0
+    for _ in range(1500):
+        a = rng.choices(vocabulary, k=rng.randint(8, 80))
+        b, n = list(a), rng.randint(1, max(1, len(a) // 12))
+        for _ in range(n):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], [rng.choice(vocabulary)], [rng.choice(vocabulary)], [b[k], rng.choice(vocabulary)]])
+        if line_dedup.edit_similar(" ".join(a), " ".join(b), 0.8):
+            prints, keys = line_dedup.line_prints([[w.encode() for w in x] for x in (a, b)])
+            pairs += 1
+            found += (int(prints[0] ^ prints[1]) & ((1 << 64) - 1)).bit_count() <= 12 and bool((set(keys[0].tolist()) & set(keys[1].tolist())) - {0})
+    assert pairs > 1300 and found / pairs >= 0.9
 
 
 @pytest.mark.parametrize("memory", [3, 1_000_000])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,13 @@ def row_number(docs: DataFrame) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (single-machine tests) a temporary folder is made and set.
+    Where the setting is absent on one machine (tests) a temporary folder is made and set; on a
+    cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -73,6 +77,57 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(side: DataFrame, name: str) -> str:
+    """Write ``side`` (one row for each ``row``) in a folder for each source partition.
+
+    ``row`` comes from :func:`row_number`, which has the partition's number from bit 33 on.  A task
+    that reads that partition again finds what belongs to its rows through :class:`Beside`, so a
+    table of texts is joined to a table of decisions without a shuffle of the texts.
+    """
+    spark = side.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        side.withColumn("part", F.shiftright("row", 33).cast("int")).repartition("part").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return path
+
+
+class Beside:
+    """Reads, within a task, the rows that :func:`beside` wrote for the task's source partition."""
+
+    def __init__(self, path: str):
+        self.path, self.part, self.table = path, None, None
+
+    def at(self, rows: np.ndarray) -> tuple:
+        """(arrow table, for each of ``rows`` its index in the table or -1)."""
+        if len(rows) and self.part != int(rows[0]) >> 33:
+            import pyarrow as pa
+            import pyarrow.fs as pafs
+            import pyarrow.parquet as pq
+
+            self.part = int(rows[0]) >> 33
+            files, root = pafs.FileSystem.from_uri(self.path)
+            found = files.get_file_info(pafs.FileSelector(f"{root}/part={self.part}", allow_not_found=True))
+            tables = [pq.ParquetFile(f.path, filesystem=files).read() for f in found if f.path.endswith(".parquet")]
+            self.table = pa.concat_tables(tables) if tables else None
+            self.rows = self.table["row"].to_numpy() if tables else np.zeros(0, np.int64)
+        if not len(rows) or not len(self.rows):
+            return self.table, np.full(len(rows), -1)
+        found = np.minimum(np.searchsorted(self.rows, rows), len(self.rows) - 1)
+        return self.table, np.where(self.rows[found] == rows, found, -1)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``docs`` has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remove(df_or_path, spark: SparkSession | None = None) -> None:
     """Delete tables made by :func:`written` once no later step reads them."""
     if isinstance(df_or_path, DataFrame):

@@ -2,22 +2,24 @@
 
 A shard file holds ids of documents in ascending order of doc_id:
 
-    header      16 little-endian unsigned 64-bit words, see HEADER
     blocks      each ``block`` ids packed with ``bits`` bits an id, least significant bit first,
                 padded to whole bytes
     offsets     one 64-bit word for each block and one more: where its bytes begin
     documents   for each document: id, 1 if the id is null, first id's number in the shard
+    footer      16 little-endian unsigned 64-bit words, see FOOTER
 
 ``bits`` is the least width that holds every id of the vocabulary and the end id.  Unpacking is
 one ``numpy.unpackbits`` over a block; any document is read from its own blocks only.
 
-Documents are range-partitioned by doc_id, so that shards follow each other in order.  A task
-writes its shard under a name of its own attempt and renames it when complete; a lost executor
-or a second attempt leaves no half-written shard.  The manifest (one row for each shard) is all
-that the driver holds.
+Documents are range-partitioned by doc_id, and a task closes a shard and begins the next when it
+has ``shard_ids`` ids, so shards follow each other in order and none grows with the table; a writer
+holds one block and the index of one shard.  A shard is written under a name of its own attempt
+and renamed when complete; a lost executor or a second attempt leaves no half-written shard.  The
+manifest (one row for each shard) is all that the driver holds.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; repeated
-doc_ids keep one entry for each row, ordered by text.  An empty table writes no shard.
+doc_ids keep one entry for each row, ordered by text.  A document of any length lies in one shard.
+An empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -39,9 +41,11 @@ from .tokens import encoder
 
 MAGIC = int.from_bytes(b"weftbits", "little")
 #: magic, version, bits, block, n_ids, n_docs, where offsets begin, where documents begin, 8 unused
-HEADER = "<16Q"
-HEADER_BYTES = 128
+FOOTER = "<16Q"
+FOOTER_BYTES = 128
 BLOCK = 8192
+#: Ids after which a shard ends, and documents.
+SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 20
 
 
 def width(vocabulary: int) -> int:
@@ -72,8 +76,7 @@ class ShardWriter:
 
     def __init__(self, sink, bits: int, block: int = BLOCK):
         self.sink, self.bits, self.block = sink, bits, block
-        self.at, self.offsets, self.docs, self.rest, self.n, self.held = HEADER_BYTES, [], [], [], 0, 0
-        sink.write(bytes(HEADER_BYTES))
+        self.at, self.offsets, self.docs, self.rest, self.n, self.held = 0, [], [], [], 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id or 0, doc_id is None, self.n))
@@ -91,13 +94,12 @@ class ShardWriter:
             self.at += len(data)
         self.rest, self.held = [ids[n:]], len(ids) - n
 
-    def close(self) -> bytes:
-        """The header, which stands at the front of the finished file."""
+    def close(self) -> None:
         self._flush(self.held)
         offsets, docs = np.array([*self.offsets, self.at], "<u8"), np.array(self.docs, "<i8").reshape(-1, 3)
         self.sink.write(offsets.tobytes())
         self.sink.write(docs.tobytes())
-        return struct.pack(HEADER, MAGIC, 1, self.bits, self.block, self.n, len(docs), self.at, self.at + offsets.nbytes, *[0] * 8)
+        self.sink.write(struct.pack(FOOTER, MAGIC, 2, self.bits, self.block, self.n, len(docs), self.at, self.at + offsets.nbytes, *[0] * 8))
 
 
 class ShardReader:
@@ -105,10 +107,10 @@ class ShardReader:
 
     def __init__(self, source):
         self.source = source
-        head = struct.unpack(HEADER, self._at(0, HEADER_BYTES))
-        if head[0] != MAGIC or head[1] != 1:
+        foot = struct.unpack(FOOTER, self._at(source.seek(0, 2) - FOOTER_BYTES, FOOTER_BYTES))
+        if foot[0] != MAGIC or foot[1] != 2:
             raise ValueError("not a packed token shard")
-        _, _, self.bits, self.block, self.n_ids, self.n_docs, at, docs = head[:8]
+        _, _, self.bits, self.block, self.n_ids, self.n_docs, at, docs = foot[:8]
         self.offsets = np.frombuffer(self._at(at, docs - at), "<u8")
         self.docs = np.frombuffer(self._at(docs, self.n_docs * 24), "<i8").reshape(-1, 3)
         self.starts = np.append(self.docs[:, 2], self.n_ids)
@@ -133,52 +135,51 @@ class ShardReader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int, block: int = BLOCK) -> DataFrame:
-    """Encode and write all documents; the manifest: (shard, path, n_docs, n_ids)."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int, block: int = BLOCK, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """Encode and write all documents; the manifest: (part, shard, path, n_docs, n_ids)."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        bits, writer, n = width(max(enc.vocab, end_id + 1)), None, 0
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        bits, writer, shard = width(max(enc.vocab, end_id + 1)), None, 0
         files, root = file_system(folder)
+
+        def finished() -> pd.DataFrame:
+            writer.close()
+            sink.close()
+            path = f"{root}/shard-{part:06d}-{shard:04d}.bits"
+            if files.get_file_info(path).type == pafs.FileType.NotFound:
+                files.move(name, path)
+            else:  # another attempt was first; its rows, and so its bytes, are the same
+                files.delete_file(name)
+            return pd.DataFrame({"part": [part], "shard": [shard], "path": [path.rpartition("/")[2]], "n_docs": [len(writer.docs)], "n_ids": [writer.n]})
+
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if writer is None:
                     files.create_dir(root, recursive=True)
-                    name = f"{root}/.{shard:06d}.{uuid.uuid4().hex}"
-                    sink = files.open_output_stream(f"{name}.body")
+                    name = f"{root}/.{part:06d}.{uuid.uuid4().hex}"
+                    sink = files.open_output_stream(name)
                     writer = ShardWriter(sink, bits, block)
                 writer.add(None if doc_id is None else int(doc_id), np.append(enc.encode(text or ""), np.uint32(end_id)))
-                n += 1
+                if writer.n >= shard_ids or len(writer.docs) >= shard_docs:
+                    yield finished()
+                    writer, shard = None, shard + 1
         if writer is not None:
-            head = writer.close()
-            sink.close()
-            # The body was written with room for the header; the finished file gets it in front.
-            with files.open_input_stream(f"{name}.body") as body, files.open_output_stream(f"{name}.whole") as whole:
-                body.read(HEADER_BYTES)
-                whole.write(head)
-                while piece := body.read(1 << 22):
-                    whole.write(piece)
-            files.delete_file(f"{name}.body")
-            path = f"{root}/shard-{shard:06d}.bits"
-            if files.get_file_info(path).type == pafs.FileType.NotFound:
-                files.move(f"{name}.whole", path)
-            else:  # another attempt was first; its rows, and so its bytes, are the same
-                files.delete_file(f"{name}.whole")
-            yield pd.DataFrame({"shard": [shard], "path": [f"shard-{shard:06d}.bits"], "n_docs": [n], "n_ids": [writer.n]})
+            yield finished()
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         .select(common.id_text(), "text")
     )
-    return ordered.mapInPandas(task, "shard long, path string, n_docs long, n_ids long")
+    return ordered.mapInPandas(task, "part long, shard long, path string, n_docs long, n_ids long")
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     """One row per document of the shards, in any order: (doc_id, start, n_tokens, ids_crc32)."""
     rows, at = [], 0
-    for m in sorted(manifest, key=lambda m: m["shard"]):
+    for m in sorted(manifest, key=lambda m: (m["part"], m["shard"])):
         rows.append((f"{folder}/{m['path']}", at))
         at += m["n_ids"]
 
@@ -207,13 +208,13 @@ def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     return paths.mapInPandas(task, schema)
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None = None, folder: str | None = None) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 1, partitions: int | None = None, folder: str | None = None, **options) -> DataFrame:
     """Write all documents as shards, then return what the files hold.
 
-    ``shards`` defaults to the number of shuffle partitions.
+    ``partitions`` defaults to the number of shuffle partitions; ``options`` go to :func:`write_shards`.
     """
     spark = docs.sparkSession
     folder = folder or common.new_folder(spark, "tokens")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = write_shards(docs, folder, tokenizer, end_id, shards).collect()  # a row for each shard
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = write_shards(docs, folder, tokenizer, end_id, partitions, **options).collect()  # a row for each shard
     return read_shards(spark, folder, manifest)

@@ -3,7 +3,7 @@
 A text over the plain Latin character set is split by the tokenizer's own pre-token pattern,
 written with explicit classes, and each distinct pre-token is encoded by the library once per
 worker.  Pre-tokens are encoded on their own by these tokenizers, so the ids are the same as of
-the whole text.  Any other text goes to the library whole.
+the whole text.  Any other text, and any with the text of a special token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # Texts that hold one of these go to the library, which gives such a token one id.
+        self.added = sorted({t.content.lower() for t in self.tok.get_added_tokens_decoder().values()})
         self.kind = "word" if self.tok.normalizer is not None else "byte"
         self.pattern, self.limit = PLAIN[self.kind], limit
         self.words: dict[str, bytes] = {}
@@ -82,11 +83,12 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if not SAFE.fullmatch(text):
+        lowered = text.lower()
+        if not SAFE.fullmatch(text) or any(t in lowered for t in self.added):
             return np.frombuffer(self._whole(text), "<u4")
         first = b""
         if self.kind == "word":
-            words = text.lower().split()
+            words = lowered.split()
         elif text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
             return np.frombuffer(self._joined(self.pattern.findall(text)), "<u4")
         else:

@@ -13,7 +13,9 @@ along the paths to the root only.  Everything else keeps its count.
 Trees are per row: no shuffle, and a task holds one document's tree at a time.
 
 Defined results: null or empty text has no tokens.  Edits must not overlap; they are given in
-characters of the original text, and bounds beyond it are cut.  Null edits are none.
+characters of the original text, and bounds beyond it are cut.  Null edits are none; edits that
+start at one place are applied in the order given.  A text of any length is one row and one tree.
+Repeated rows are counted each.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, longs
+from .positions import positions
 from .tokens import encoder
 
 SCHEMA = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, n_reencoded long, n_leaves long"
@@ -126,35 +129,16 @@ def redactions(text: Column) -> Column:
     """array<struct<s, e, r>>: non-overlapping edits of personal data in ``text``."""
     whole = "|".join(f"({p})" for p, _ in REDACTIONS)
     hits = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
-    gaps = F.split(text, whole, -1)
-    kinds = [F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(k + 1)), lambda m: F.length(m) > 0) for k in range(len(REDACTIONS))]
-    names = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("g"), F.transform(hits, lambda m: F.length(m)).alias("m"), *(k.alias(f"k{i}") for i, k in enumerate(kinds)))
-    edit = "struct<s:int,e:int,r:string>"
-    return F.when(
-        text.rlike(whole),
-        F.aggregate(
-            names,
-            F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{edit}>").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
-                F.when(x["m"].isNull(), acc["out"])
-                .otherwise(
-                    F.concat(
-                        acc["out"],
-                        F.array(
-                            F.struct(
-                                (acc["at"] + x["g"]).alias("s"),
-                                (acc["at"] + x["g"] + x["m"]).alias("e"),
-                                F.coalesce(*(F.when(x[f"k{i}"], F.lit(r)) for i, (_, r) in enumerate(REDACTIONS))).alias("r"),
-                            )
-                        ),
-                    )
-                )
-                .alias("out"),
-            ),
-            lambda acc: acc["out"],
-        ),
-    ).otherwise(F.array().cast(f"array<{edit}>"))
+    gaps = F.transform(F.split(text, whole, -1), lambda g: F.length(g))
+    email, address, key, number = (F.lit(word) for _, word in REDACTIONS)
+
+    def kind(m: Column) -> Column:
+        """What a match is, without a second search: the patterns' alphabets tell."""
+        return F.when(m.contains("@"), email).when(m.contains("."), address).when(F.length(m) >= 32, key).otherwise(number)
+
+    lengths, words = F.transform(hits, lambda m: F.length(m)), F.transform(hits, kind)
+    found = F.transform(positions(gaps, lengths, words, "string"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("r")))
+    return F.when(text.rlike(whole), found).otherwise(F.array().cast("array<struct<s:int,e:int,r:string>>"))
 
 
 def recount(docs: DataFrame, edits: Column, tokenizer: str, leaf: int = 256) -> DataFrame:

@@ -8,12 +8,14 @@ Base kinds, leftmost and non-overlapping each, are always reported:
 
 Weak kinds say little on their own and are reported only when complementary parts stand near:
 
-    secret      20 to 64 base64 characters with capitals, lower case and digits, outside base spans
+    secret      20 or more base64 or base64url characters with capitals, lower case and digits,
+                outside base spans
     identifier  a user, login, client or account name and its value
     endpoint    a URL's scheme and host, or an IPv4 address, with an optional port
 
 A weak secret is reported if an access key, identifier or endpoint starts within ``reach``
-characters of its own start; an identifier or endpoint if a weak secret or an assign value does.
+characters of its own start; an identifier or endpoint if a weak secret, an assign value or hex
+digits do.
 This is an interval join: starts are cut into bins of ``reach`` characters; per document and bin
 only the least and the greatest start of a side are kept, which is enough to decide whether
 any start of that side lies in reach, so the join never makes pairs within a group.
@@ -21,24 +23,26 @@ any start of that side lies in reach, so the join never makes pairs within a gro
 Only DataFrame and SQL functions run.  Positions are code points, ends exclusive.  Matches and
 the gaps between them (split by the same pattern) give the positions.
 
-Defined results: null and empty texts have no spans.  Repeated rows come back each; documents are
+Defined results: null and empty texts have no spans.  A text of any length is one row; work grows
+in proportion to its length and its matches.  Repeated rows come back each; documents are
 told apart by (doc_id, hash of text), rows equal in both have equal spans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .positions import positions
 
 #: The base patterns.
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
-SECRET = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{20,64}={0,2}(?![A-Za-z0-9+/=_.-])"
-IDENTIFIER = r"""\b(?i:user|username|login|client_id|account|account_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,64}"""
+SECRET = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
+IDENTIFIER = r"""\b(?i:user|username|login|client_id|account|account_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}"""
 ENDPOINT = r"(?:\b[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.]))"
 
 KINDS = ("assign", "access", "hex", "secret", "identifier", "endpoint")
@@ -51,20 +55,7 @@ def spans(text: str, pattern: str, least: int | None = None) -> Column:
     lengths = F.transform(F.regexp_extract_all(t, p, F.lit(0)), lambda m: F.length(m))
     values = F.transform(F.regexp_extract_all(t, p, F.lit(1)), lambda m: F.length(m)) if least else lengths
     gaps = F.transform(F.split(t, pattern, -1), lambda g: F.length(g))
-    empty = F.array().cast("array<struct<s:int,e:int,v:int>>")
-    # A running total of gaps and matches; the state holds the spans so far and where the last ended.
-    found = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), lengths.alias("m"), values.alias("v")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["m"]).alias("e"), x["v"].alias("v")))))
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    kept = F.filter(found, lambda x: x["v"] >= (least or 0))
+    kept = F.filter(positions(gaps, lengths, values), lambda x: x["v"] >= (least or 0))
     none = F.array().cast("array<struct<s:int,e:int>>")
     return F.when(t.rlike(pattern), F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))).otherwise(none)
 
@@ -86,17 +77,25 @@ def scan(docs: DataFrame) -> DataFrame:
         spans("t", ASSIGN, 8).alias("assign"), spans("t", ACCESS).alias("access"), spans("t", HEX).alias("hex"),
         spans("t", SECRET).alias("secret"), spans("t", IDENTIFIER).alias("identifier"), spans("t", ENDPOINT).alias("endpoint"),
     )
-    taken = F.concat("assign", "access", "hex")
-    apart = F.filter("secret", lambda x: ~F.exists(taken, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    return base.drop("t").withColumn("secret", apart)
+    return base.drop("t")
+
+
+def _apart(parts: DataFrame) -> DataFrame:
+    """``parts`` without weak secrets that overlap a base span, by running bounds over a document."""
+    base = F.col("k") < 3
+    before = Window.partitionBy("doc_id", "h").orderBy("s")
+    after = Window.partitionBy("doc_id", "h").orderBy(F.desc("s"))
+    bounded = parts.withColumn("reached", F.max(F.when(base, F.col("e"))).over(before)).withColumn("next", F.min(F.when(base, F.col("s"))).over(after))
+    overlaps = (F.coalesce("reached", F.lit(0)) > F.col("s")) | F.coalesce(F.col("next") < F.col("e"), F.lit(False))
+    return bounded.where(~((F.col("k") == 3) & overlaps)).drop("reached", "next")
 
 
 def linked(scanned: DataFrame, reach: int = 200) -> DataFrame:
     """(doc_id, h, weak): the weak spans with a complementary part within ``reach``."""
-    side = F.when(F.col("k").isin(0, 3), 0).otherwise(1)  # values on one side, names and places on the other
-    each = F.concat(*(_tagged(name, k) for k, name in enumerate(KINDS) if name != "hex"))
+    side = F.when(F.col("k").isin(0, 2, 3), 0).otherwise(1)  # values on one side, names and places on the other
+    each = F.concat(*(_tagged(name, k) for k, name in enumerate(KINDS)))
     parts = scanned.where(F.size("secret") + F.size("identifier") + F.size("endpoint") > 0).select("doc_id", "h", F.explode(each).alias("x")).select("doc_id", "h", "x.*").distinct()
-    parts = parts.withColumn("side", side).withColumn("bin", F.floor(F.col("s") / reach))
+    parts = _apart(parts).withColumn("side", side).withColumn("bin", F.floor(F.col("s") / reach))
     bounds = (
         parts.groupBy("doc_id", "h", "side", "bin").agg(F.min("s").alias("low"), F.max("s").alias("high"))
         .withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))

@@ -5,8 +5,9 @@ below it down to ``shortest``.  Within a lot of a partition's documents:
 
 1. a document is cut into full windows of the longest tier and a remainder,
 2. the remainder is routed to the smallest tier that holds it,
-3. each tier is packed on its own, the longest first: a window opens with the largest remainder
-   of its tier and its gap is filled by the best-fitting remainders of shorter tiers,
+3. each tier is packed on its own into windows of its own width, the longest first: a window opens
+   with the largest remainder of its tier and its gap is filled by the best-fitting remainders of
+   shorter tiers,
 4. what gap no whole remainder fits is filled by cutting one, so that windows end full; the lot's
    last window alone can stay short and is cut into tiers by powers of two, the last of which is
    padded,
@@ -18,7 +19,8 @@ no shuffle is needed: the layout depends on a partition's own rows alone and com
 when a task is run again.  sequence_id is the partition's number times 2^33 plus a counter.
 
 Defined results: a null or empty text is the end id alone; repeated rows and null ids are packed
-like any other; an empty table gives no pieces.
+like any other; of remainders of one size the last read goes first; a very long text is one lot by
+itself and its windows are cut from it in order; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def plan(lengths: list[int], longest: int = 1024, shortest: int = 64, group: int
     for k in reversed(range(len(tiers))):
         while opened := routed[tiers[k]].take(tiers[k]):
             size, doc, start = opened
-            window, gap = [(doc, start, size)], longest - size
+            window, gap = [(doc, start, size)], tiers[k] - size
             while gap:
                 # The own tier and shorter ones, the one with the best fit first.
                 fit = next((p for t in reversed(tiers[: k + 1]) if (p := routed[t].take(gap))), None)
@@ -101,8 +103,8 @@ def plan(lengths: list[int], longest: int = 1024, shortest: int = 64, group: int
     shaped: list[tuple[int, list[tuple[int, int, int]]]] = []
     for window in windows:
         total = sum(p[2] for p in window)
-        if total == longest:
-            shaped.append((longest, window))
+        if total in tiers:
+            shaped.append((total, window))
             continue
         while window:  # the short one: powers of two from the largest, the last one padded
             total = sum(p[2] for p in window)

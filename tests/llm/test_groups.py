@@ -282,6 +282,59 @@ def test_longest_common_subsequence():
         assert len(got) == table[-1][-1] and all(a[k] in rest for k in sorted(got))
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div role="main"><p>In</p></div><div>Out</div>', [("In", True), ("Out", False)]),
+        ("<article><figure><img src=x><figcaption>Caption</figcaption></figure></article>", [("Caption", True)]),
+        ("<article><header><h1>Head</h1><p>Standfirst</p></header><p>Body</p><footer>By</footer></article>", [("Head", True), ("Standfirst", True), ("Body", True)]),
+        ("<article><p>One</p><aside>Never closed<p>x</article><p>After</p>", [("One", True), ("After", False)]),
+        ("<nav>Open<ul><li>a<li>b<main><p>Text</main>", [("Text", True)]),
+        ('<article>Story<h2 id="discussion">Discussion of results</h2></article><article class="comment">Nice</article>', [("Story", True), ("Discussion of results", True)]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", [("a b", False), ("c", False)]),
+        ("</div></p>x<br>y", [("x y", False)]),
+    ],
+)
+def test_lines_of_awkward_pages(page, want):
+    assert html_diff.lines_of(page) == want
+
+
+def brute_pages(rows):
+    """Texts by sorting all pages at once."""
+    pages = sorted(((html_diff.address(u), i is not None, i or 0, k) for k, (i, u, _) in enumerate(rows)))
+    lines = [html_diff.lines_of(rows[k][2]) for *_, k in pages]
+    out = []
+    for n, (place, *_, k) in enumerate(pages):
+        near = [m for m in (n - 1, n + 1) if 0 <= m < len(pages) and pages[m][0][0] == place[0]]
+        near = max(near, key=lambda m: html_diff.closeness(pages[m][0], place), default=None)
+        own, shared = lines[n], set()
+        if near is not None:
+            shared = html_diff.common([x for x, _ in own], [x for x, _ in lines[near]])
+            if not any(i for _, i in own) and 10 * sum(len(own[j][0]) for j in shared) >= 9 * sum(len(x) for x, _ in own):
+                shared = set()
+        text = "\n".join(x for j, (x, inside) in enumerate(own) if inside or j not in shared)
+        out.append((rows[k][0], rows[k][1], text, len(text)))
+    return out
+
+
+def test_differencing_decides_alike_for_any_partitions(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(90):
+        host = rng.choice(["big.example", "big.example", "www.big.example", "a.example", "b.example"])
+        body = "".join(f"<p>{' '.join(rng.choices(['one', 'two', 'three', 'four'], k=9))} {i}</p>" for _ in range(3))
+        around = f"<div>Welcome to {host.removeprefix('www.')}</div>", "<div>Contact us by post</div>", f"<div>Line of page {i}</div>"
+        main = rng.choice(["<article>%s</article>", "<div>%s</div>", "<div role=main>%s</div>"]) % (body + ("<p>Contact us by post</p>" if i % 3 else ""))
+        rows.append((i if i % 17 else None, f"http://{host}/{rng.choice('xyz')}/{i}" if i % 13 else None, around[0] + main + around[1] + around[2]))
+    rows += [(200, None, None), (201, "http://[bad", ""), (5, "http://alone.example/", "<p>Alone</p>"), (300, "http://long.example/", "<article>" + "<p>long text</p>" * 30_000 + "</article>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lines", F.lit("clash"))
+    want = multiset(brute_pages(rows))
+    texts = [t for _, _, t, _ in want]
+    assert sum("Contact us by post" in t for t in texts) > 20 and sum("Welcome" in t for t in texts) < 20
+    for partitions in (1, 7, 64):
+        assert multiset(html_diff.extract(table, partitions).collect()) == want
+
+
 def test_pages_without_structure_lose_what_neighbours_share(spark):
     def page(body):
         return f"<div>Home of the site</div><div>{body}</div><div>All rights reserved</div>"

@@ -12,9 +12,11 @@ and a candidate is confirmed by comparing all its words.  Nothing is decided by
 
 Documents are never shuffled.  The patterns are distinct windows, counted before they are sent
 out: at most ``most`` make one set; more make several sets, by a hash of the window, and a pass
-over the documents for each, whose hits are then put together by document.
+over the documents for each.  The first pass has one row for each document, the others have hits
+only, and these are put together by document.
 
-Defined results: null or empty texts have no words.  Rows of the benchmark with the same item_id
+Defined results: null or empty texts have no words.  A text of any length is one row; a window that
+several items hold counts for each of them.  Rows of the benchmark with the same item_id
 are one item, a null item_id counts as the empty string.  Repeated document rows come back each.
 """
 
@@ -141,12 +143,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = 50
 
         return task
 
-    def part(rows):
+    def part(rows, hits_only: bool):
+        """One row for each document with a hit; the first pass also has those without."""
+
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             searched = tables(rows.value)
             for batch in batches:
                 found = [scan(t, searched) for t in batch["text"]]
-                yield batch[["row"]].assign(doc_id=longs(batch["doc_id"]), n_words=[n for n, _, _ in found], spans=[[list(s) for s in spans] for _, spans, _ in found], items=[sorted(i) for _, _, i in found])
+                out = batch[["row"]].assign(doc_id=longs(batch["doc_id"]), n_words=[n for n, _, _ in found], spans=[[list(s) for s in spans] for _, spans, _ in found], items=[sorted(i) for _, _, i in found])
+                yield out[out["items"].map(len) > 0] if hits_only else out
 
         return task
 
@@ -159,7 +164,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = 50
         return docs.mapInPandas(one(chosen(0)), SCHEMA)
     found = None
     for k in range(n_sets):
-        more = written(docs.mapInPandas(part(chosen(k)), PARTS), "hits")
+        more = written(docs.mapInPandas(part(chosen(k), k > 0), PARTS), "hits")
         found = more if found is None else found.union(more)
     whole = found.groupBy("row").agg(F.first("doc_id").cast("string").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     return whole.mapInPandas(joined, SCHEMA)

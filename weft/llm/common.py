@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,6 @@ class Beside:
     def at(self, rows: np.ndarray) -> tuple:
         """(arrow table, for each of ``rows`` its index in the table or -1)."""
         if len(rows) and self.part != int(rows[0]) >> 33:
-            import pyarrow as pa
             import pyarrow.fs as pafs
             import pyarrow.parquet as pq
 
@@ -120,6 +120,19 @@ class Beside:
         return self.table, np.where(self.rows[found] == rows, found, -1)
 
 
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose number (see :func:`row_number`) is in ``kept`` (row)."""
+    path, name = beside(kept.select("row"), "kept"), fresh(docs, "__row")
+
+    def task(batches):
+        side = Beside(path)
+        for batch in batches:
+            _, at = side.at(batch[name].to_numpy())
+            yield batch.drop_columns([name]).filter(pa.array(at >= 0))
+
+    return docs.withColumn(name, row_number(docs)).mapInArrow(task, docs.schema)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, or a longer one that ``docs`` has no column of."""
     taken = {c.lower() for c in docs.columns}

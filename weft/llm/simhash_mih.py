@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .common import id_text, longs, row_number, written
+from .common import id_text, longs, only, remove, row_number, written
 
 #: (first bit, bits, radius): distances (2, 2, 1) or more in all would be five.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
@@ -206,10 +206,10 @@ def keep_one(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
 
     Among rows of equal doc_id the first in the table's order stays.
     """
-    numbered = docs.withColumn("__row", row_number(docs))
-    fps = written(fingerprints(_plain(numbered, "__row"), size), "fingerprints")
+    fps = written(fingerprints(_plain(docs, row_number(docs).alias("row")), size), "fingerprints")
     group = _grouped(fps, distance)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(group, "fp").groupBy("component").agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.__row").alias("__row"))
-    return numbered.join(written(kept, "kept"), "__row", "left_semi").drop("__row")
+    out = only(docs, first.select("first.row"))
+    remove(fps)
+    return out

@@ -228,9 +228,38 @@ def test_suffix_dedup(docs, corpus, empty):
         want.append((i, len(b), len(b) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
     assert multiset(suffix_dedup.digests(docs).collect()) == multiset(want)
     assert multiset(suffix_dedup.digests(docs, shard_bytes=500, memory=50).collect()) == multiset(want)
+    assert multiset(suffix_dedup.digests(docs, hot=1).collect()) == multiset(want)
     assert suffix_dedup.digests(empty).count() == 0
 
 
+def test_hot_keys_are_cut_down(spark):
+    """A passage of 150 to 260 bytes in different surroundings: one key, many distinct pieces."""
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, tails = word(260), [word(40) for _ in range(3)]
+    texts = [word(rng.randint(50, 200)) + core[: rng.choice([150, 199, 200, 201, 260])] + rng.choice([word(120), rng.choice(tails) + word(90)]) for _ in range(60)]
+    texts += [word(10) + core[60:] + tails[0] + word(100) for _ in range(20)] + ["z" * 100_000 + core]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = multiset(suffix_dedup.digests(docs).collect())
+    for hot in (2, 10):
+        assert multiset(suffix_dedup.digests(docs, hot=hot).collect()) == plain
+    data = [t.encode() for t in texts]
+    starts = collections.Counter(b[k : k + 200] for b in data for k in range(len(b) - 199))
+    gone = {i: {k + j for k in range(len(b) - 199) if starts[b[k : k + 200]] > 1 for j in range(200)} for i, b in enumerate(data[:-1])}
+    assert all(r["n_removed"] == len(gone[r["doc_id"]]) for r in suffix_dedup.digests(docs, hot=2).collect() if r["doc_id"] < 80)
+
+
+def test_recursion_through_files():
+    rng = np.random.default_rng(5)
+    for n, sigma, bits in ((3000, 3, 4), (4000, 2, 6), (2500, 200, 9)):
+        text = np.append(rng.integers(1, sigma + 1, n), 0).astype(np.uint16)
+        text[n // 2 : n - 1] = text[: n - 1 - n // 2]  # long repeats, so that names repeat
+        with tempfile.TemporaryDirectory() as folder:
+            blocks = list(descending(text, sigma + 1, folder, 9, 40, bits))
+        order, s = np.concatenate([a for a, _ in blocks]).tolist(), text.tolist()
+        assert order == sorted(range(len(s)), key=lambda i: s[i:], reverse=True)
+
+
 def test_wu_manber(spark, docs, corpus, empty):
     texts = [t for _, t in corpus if t]
     items = [(1, " ".join(texts[0].split()[3:30])), (2, texts[1]), (3, "x Y"), (4, None), (5, "..."), (2, texts[5]), (None, texts[6])]

@@ -13,12 +13,15 @@ Suffixes are L (greater than the next suffix) or S; an LMS suffix is an S with a
   pushed before it into the same bucket; values are kept up to ``cap``.
 
 The passes take whole frontiers of a bucket at a time, as arrays.  Text is a memory-mapped file.
-The string of names (at most half of the text, a third as a rule) is sorted in memory by doubling.
+A string of names that exceeds ``memory`` goes to a file as digits of a bounded alphabet, most
+significant first (fixed width keeps the order), and is sorted by the same induction; one that fits
+ends the recursion and is sorted by doubling.  The positions of LMS suffixes are held as arrays.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,6 +245,23 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def _by_induction(names: np.ndarray, folder: str, memory: int, digit_bits: int) -> np.ndarray:
+    """Suffix array of a string of numbers through a file of digits."""
+    digits = max(1, -(-int(names.max()).bit_length() // digit_bits))
+    path = os.path.join(folder, f"names-{len(names)}-{uuid.uuid4().hex}")
+    with open(path, "wb") as f:
+        for at in range(0, len(names), 1 << 18):
+            shifts = digit_bits * np.arange(digits - 1, -1, -1)
+            ((names[at : at + (1 << 18), None] >> shifts & ((1 << digit_bits) - 1)) + 1).astype("<u4").tofile(f)
+        np.zeros(1, "<u4").tofile(f)
+    text = np.memmap(path, "<u4", "r")
+    parts = [at[at % digits == 0] // digits for at, _ in descending(text, (1 << digit_bits) + 1, folder, 1, memory, digit_bits)]
+    del text
+    os.unlink(path)
+    order = np.concatenate(parts)[::-1]
+    return order[order < len(names)]
+
+
 def _prefixes(text, order: np.ndarray, cap: int) -> np.ndarray:
     """Common prefixes of neighbours, by comparing characters of those still equal."""
     t, n = np.asarray(text), len(text)
@@ -257,7 +277,7 @@ def _prefixes(text, order: np.ndarray, cap: int) -> np.ndarray:
     return out
 
 
-def descending(text, sigma: int, folder: str, cap: int, memory: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def descending(text, sigma: int, folder: str, cap: int, memory: int = 4_000_000, digit_bits: int = 10) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Suffixes of ``text`` from the greatest, with common prefixes (up to ``cap``) with the one above.
 
     ``text``: array of small integers below ``sigma``; the last is the least and stands nowhere else.
@@ -270,5 +290,7 @@ def descending(text, sigma: int, folder: str, cap: int, memory: int = 4_000_000)
     order = np.concatenate(rough)[::-1]
     names = _name(text, order, lms)
     if len(lms) and int(names.max()) + 1 < len(lms):
-        order = lms[_by_doubling(names)]
+        # Digits may be as many as the text has characters; then the names are sorted here.
+        shorter = len(names) * max(1, -(-int(names.max()).bit_length() // digit_bits)) < 0.9 * len(text)
+        order = lms[_by_induction(names, folder, memory, digit_bits) if len(names) > memory and shorter else _by_doubling(names)]
     yield from induce(text, order, _prefixes(text, order, cap), sigma, folder, cap, memory)

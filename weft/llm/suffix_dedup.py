@@ -9,17 +9,22 @@ the same one included) is removed.  Texts are UTF-8; null is empty; matches neve
    are unique.  What remains is a small part of a corpus.
 2. Pieces.  The remaining pieces are cut from the texts.  Equal pieces are one row with a count;
    a piece met twice or more repeats as a whole.
-3. Sorting.  Distinct pieces go to shards by key.  A task sorts a shard's suffixes by induced
+3. Hot keys.  A passage that very many documents hold in different surroundings gives one key very
+   many distinct pieces.  Such pieces are cut in two by where the gram stands in the window; all
+   windows of a half share more bytes than before, and their hash is the half's key.  Halves met
+   once are dropped, and halves that are still hot are cut again, down to single windows.
+4. Sorting.  Distinct pieces go to shards by key.  A task sorts a shard's suffixes by induced
    sorting with disk-backed queues (see induced_sort) and common-prefix values; a window repeats
-   if a neighbour in the order shares ``length`` bytes with it.  A shard of any size is sorted
-   through files of the task's own temporary folder, removed when the shard is done.
-4. Removal.  Repeated windows come back to the documents by piece and are cut out.
+   if a neighbour in the order shares ``length`` bytes with it.  Files are in the task's own
+   temporary folder, removed when the shard is done.
+5. Removal.  Repeated windows come back to the documents by piece and are cut out.
 
 Counting keys and pieces pre-aggregates before each shuffle, so that copies of a passage, however
 many, are one row when they are sorted.
 
 Defined results: empty and short texts lose nothing.  Repeated rows are further places, so they
-lose all they share.  Rows come back one for one, null doc_ids too.
+lose all they share.  Rows come back one for one, null doc_ids too.  A text of any length is one
+row whose pieces go their own ways.
 """
 
 from __future__ import annotations
@@ -31,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, longs, remove, row_number, written
+from .common import Beside, beside, id_text, longs, remove, row_number, written
 from .induced_sort import descending
 
 LENGTH, GRAM = 200, 40
@@ -105,14 +111,21 @@ def _windows(length: int, gram: int):
     return task
 
 
-def _cut(length: int):
+def _cut(length: int, path: str):
+    """Task over texts (row, data): the pieces that the side table asks for."""
+
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        side = Beside(path)
         for batch in batches:
+            table, at = side.at(batch["row"].to_numpy(np.int64))
             out = []
-            for row, data, own in zip(batch["row"], batch["data"], batch["own"], strict=True):
-                for x in own:
-                    piece = bytes(data[x["start"] : x["start"] + x["size"] + length - 1])
-                    out.append((x["key"], row, x["start"], hashlib.md5(piece, usedforsecurity=False).digest(), piece))
+            for row, data, k in zip(batch["row"], batch["data"], at, strict=True):
+                if k < 0:
+                    continue
+                key, start, size = (table[c][int(k)].values.to_numpy().tolist() for c in ("keys", "starts", "sizes"))
+                for x, s, n in zip(key, start, size, strict=True):
+                    piece = bytes(data[s : s + n + length - 1])
+                    out.append((x, row, s, hashlib.md5(piece, usedforsecurity=False).digest(), piece))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=["key", "row", "start", "digest", "piece"])
                     out = []
@@ -122,6 +135,53 @@ def _cut(length: int):
     return task
 
 
+HALVES = "key long, digest binary, piece binary, n long, low int, high int, gram_at int, of binary, offset int"
+
+
+def halves(length: int, gram: int):
+    """Task over pieces (digest, piece, n, low, high, gram_at) of hot keys: each cut in two.
+
+    low and high bound how many bytes before the gram a window begins; gram_at is -1 at first.  The
+    bytes that all windows of a half have, wherever they begin, give the half's key.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, digest, piece, n, low, high, p in zip(*(batch[c] for c in ("key", "digest", "piece", "n", "low", "high", "gram_at")), strict=True):
+                piece, windows = bytes(piece), len(piece) - length + 1
+                if p < 0:
+                    p = int(np.flatnonzero(gram_hashes(np.frombuffer(piece, np.uint8), gram).view(np.int64) == key)[0])
+                middle = (low + high + 1) // 2
+                for a, b in ((low, middle - 1), (middle, high)):
+                    first, last = max(0, p - b), min(windows - 1, p - a)
+                    if first <= last:
+                        part, core = piece[first : last + length], piece[p - a : p - b + length]
+                        name = xxhash.xxh64_intdigest(core, seed=(a << 16) + b)
+                        out.append((np.uint64(name).view(np.int64), hashlib.md5(part, usedforsecurity=False).digest(), part, n, a, b, p - first, bytes(digest), first))
+            yield pd.DataFrame(out, columns=["key", "digest", "piece", "n", "low", "high", "gram_at", "of", "offset"])
+
+    return task
+
+
+def cooled(distinct: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(pieces with no hot key, tables (digest, of, offset) that lead from halves back to pieces)."""
+    ready, back = distinct, []
+    at = distinct.withColumns({"low": F.lit(0), "high": F.lit(length - gram), "gram_at": F.lit(-1)})
+    while True:
+        many = written(at.where("low < high").groupBy("key").agg(F.count("*").alias("pieces")).where(F.col("pieces") > hot).select("key"), "hot", "zstd")
+        if many.isEmpty():
+            return ready, back
+        ready = ready.join(many, "key", "left_anti")
+        cut = written(at.join(many, "key", "left_semi").select("key", "digest", "piece", "n", "low", "high", "gram_at").mapInPandas(halves(length, gram), HALVES), "halves", "zstd")
+        back.append(cut.select("digest", "of", "offset"))
+        same = ("piece", "low", "high", "gram_at")
+        each = cut.groupBy("key", "digest").agg(*(F.first(c).alias(c) for c in same), F.sum("n").alias("n"))
+        again = cut.groupBy("key").agg(F.sum("n").alias("met")).where("met > 1").select("key")
+        at = written(each.join(again, "key", "left_semi"), "pieces", "zstd")
+        ready = ready.unionByName(at.select("key", "digest", "piece", "n"))
+
+
 class Shard:
     """Pieces in a file of 16-bit characters: byte + 2, a 1 after each piece, a 0 at the end."""
 
@@ -190,22 +250,36 @@ def _sort(length: int, shard_bytes: int, memory: int):
     return task
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = 4 << 20, memory: int = 2_000_000) -> DataFrame:
-    """(row, spans): for each row that loses bytes, array<struct<low, high>> of its bytes."""
-    texts = _numbered(docs)
-    windows = written(texts.select("row", "data").mapInPandas(_windows(length, gram), "key long, row long, start int, size int"), "windows", "zstd")
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = 4 << 20, memory: int = 2_000_000, hot: int = 1000) -> DataFrame:
+    """(row, low, high): for each row that loses bytes, the bounds of its spans, by start.
+
+    ``hot``: distinct pieces of a key beyond which it is cut up.
+    """
+    texts = _numbered(docs).select("row", "data")
+    windows = written(texts.mapInPandas(_windows(length, gram), "key long, row long, start int, size int"), "windows", "zstd")
     # Written, so that both sides of the join come from a plain shuffle and a key that very many
     # windows share can be split over tasks.
     again = written(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again", "zstd")
     own = windows.join(again, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("key", "start", "size")).alias("own"))
-    cut = written(texts.join(written(own, "own", "zstd"), "row").select("row", "data", "own").mapInPandas(_cut(length), "key long, row long, start int, digest binary, piece binary"), "pieces", "zstd")
-    distinct = cut.groupBy("key", "digest").agg(F.first("piece").alias("piece"), F.count("*").alias("n"))
-    shards = distinct.repartition("key").sortWithinPartitions("key", "digest")
-    found = shards.mapInPandas(_sort(length, shard_bytes, memory), "digest binary, low int, high int")
-    marks = written(found.join(cut.select("digest", "row", "start"), "digest").select("row", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("span")), "marks", "zstd")
+    path = beside(own.select("row", F.col("own.key").alias("keys"), F.col("own.start").alias("starts"), F.col("own.size").alias("sizes")), "own")
+    cut = written(texts.mapInPandas(_cut(length, path), "key long, row long, start int, digest binary, piece binary"), "pieces", "zstd")
     remove(windows)
+    remove(again)
+    remove(path, docs.sparkSession)
+    distinct = written(cut.groupBy("key", "digest").agg(F.first("piece").alias("piece"), F.count("*").alias("n")), "distinct", "zstd")
+    ready, back = cooled(distinct, length, gram, hot)
+    shards = ready.repartition("key").sortWithinPartitions("key", "digest")
+    found = written(shards.mapInPandas(_sort(length, shard_bytes, memory), "digest binary, low int, high int"), "found", "zstd")
+    for step in reversed(back):
+        whole = found.join(step, "digest").select(F.col("of").alias("digest"), (F.col("low") + F.col("offset")).alias("low"), (F.col("high") + F.col("offset")).alias("high"))
+        found = found.union(whole)
+    span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
+    marks = found.join(cut.select("digest", "row", "start"), "digest").select("row", span.alias("span")).distinct()
+    spans = marks.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans")).select("row", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
+    out = written(spans, "spans", "zstd")
     remove(cut)
-    return marks.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    remove(distinct)
+    return out
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -228,15 +302,20 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def digests(docs: DataFrame, **options) -> DataFrame:
     """One row per document: what it loses and the SHA-256 of what is left; see SCHEMA."""
-    spans = written(repeated_spans(docs, **options), "spans", "zstd")
+    spans = repeated_spans(docs, **options)
+    path = beside(spans, "spans")
+    remove(spans)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        side = Beside(path)
         for batch in batches:
+            table, at = side.at(batch["row"].to_numpy(np.int64))
             out = []
-            for data, low, high in zip(batch["data"], batch["low"], batch["high"], strict=True):
-                cut = merged(zip(low.tolist(), high.tolist(), strict=True)) if low is not None else []
+            for data, k in zip(batch["data"], at, strict=True):
+                bounds = [table[c][int(k)].values.to_numpy().tolist() for c in ("low", "high")] if k >= 0 else [[], []]
+                cut = merged(zip(*bounds, strict=True))
                 rest = kept_bytes(data, cut)
                 out.append((len(data), len(data) - len(rest), len(cut), hashlib.sha256(rest).hexdigest()))
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(doc_id=longs(batch["doc_id"]))
 
-    return _numbered(docs).join(spans, "row", "left").select("doc_id", "data", "spans.low", "spans.high").mapInPandas(task, SCHEMA)
+    return _numbered(docs).mapInPandas(task, SCHEMA)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -58,8 +59,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}/{name}"
 
 
-#: Spark deletes a query's shuffle files at its end instead of when the driver collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark deletes a query's shuffle files at its end instead of when the
+#: driver collects garbage, and Python workers hold fewer texts at a time.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -69,12 +83,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, WHILE_WRITING):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,12 +97,8 @@ def beside(side: DataFrame, name: str) -> str:
     """
     spark = side.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, WHILE_WRITING):
         side.withColumn("part", F.shiftright("row", 33).cast("int")).repartition("part").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return path
 
 

@@ -59,9 +59,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}/{name}"
 
 
-#: While a table is written: Spark deletes a query's shuffle files at its end instead of when the
-#: driver collects garbage, and Python workers hold fewer texts at a time.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: While a table is written, Spark deletes a query's shuffle files at its end instead of when the
+#: driver collects garbage.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Rows that a Python worker gets at once, for steps that hold several copies of their texts.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
@@ -76,14 +78,14 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", batch: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 
     The shuffle files behind it go as soon as the table is complete.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    with settings(spark, WHILE_WRITING):
+    with settings(spark, WHILE_WRITING | ({BATCH: str(batch)} if batch else {})):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

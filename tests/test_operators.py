@@ -66,3 +66,63 @@ def test_empty_inputs(spark):
     items = coupling.transaction_items(spark.createDataFrame([], "o long, p long"), "o", "p")
     edges = coupling.jaccard_edges(items)
     assert edges.count() == 0 and coupling.keystones(edges, items.groupBy("item").agg(F.count("*").alias("touches"))).count() == 0
+
+
+def test_large_transactions_pair_fully_in_any_blocks(spark):
+    """A transaction of 130 items has all its pairs, and its weight fades; nothing is cut."""
+    from weft.operators import coupling as c
+
+    rows = [(1, i) for i in range(130)] + [(2, 5), (2, 6), (3, 7)]
+    items = c.transaction_items(spark.createDataFrame(rows, "txn long, item long"), "txn", "item")
+    want = {(a, b) for a in range(130) for b in range(a + 1, 130)}
+    for block in (7, 50, 1000):
+        got = [(r["a"], r["b"]) for r in c.pairs(items, block).where("txn = 1").collect()]
+        assert len(got) == len(want) and set(got) == want
+    scores = {(r["a"], r["b"]): r["score"] for r in c.jaccard_edges(items).collect()}
+    assert len(scores) == len(want) and scores[5, 6] == 1.0 and scores[5, 8] == 0.5
+    ranks = spark.createDataFrame([(1, 0, 0, 1.0), (2, 1, 1, 1.0), (3, 2, 2, 1.0)], "txn long, rank long, age long, meaning double")
+    lagged = {(r["a"], r["b"]): r["lag_score"] for r in c.lagged_edges(items, ranks, 10.0).collect()}
+    assert abs(lagged[0, 5] - 60 / 130 * (2**-0.1) ** 0.5 / 2) < 1e-9
+
+
+def test_similar_token_sets_are_all_found(spark):
+    import itertools
+    import math
+    import random
+
+    from weft.operators import text as x
+
+    rng = random.Random(3)
+    sets = [frozenset(rng.sample("abcdefghijklmnop", rng.randint(3, 9))) for _ in range(60)]
+    sets += sets[:10]
+    tokens = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s], "doc long, token string")
+    freq = x.document_frequency(tokens, len(sets))
+    idf = {t: math.log(1 + len(sets) / (1 + sum(t in s for s in sets))) for t in "abcdefghijklmnop"}
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    w = lambda s: sum(idf[t] for t in s)
+    for least in (0.3, 0.6):
+        want = {tuple(sorted((first[a], first[b]))) for a, b in itertools.combinations(first, 2) if w(a & b) / w(a | b) >= least}
+        assert {(r["a"], r["b"]) for r in x.idf_jaccard(tokens, freq, least).collect()} == want and want
+    assert {(r["doc"], r["cls"]) for r in x.token_classes(tokens).collect()} == {(i, first[s]) for i, s in enumerate(sets)}
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    from weft.operators import vectors as v
+
+    e = spark.createDataFrame([(i, i % 4, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, label long, embedding array<double>")
+    whole = sorted(map(tuple, v.nearest_rows(e, "vec_id", "embedding", e, 3).collect()))
+    c = v.centroids(e, "label", "embedding")
+    near = sorted(map(tuple, v.nearest_centroid(e, "vec_id", "embedding", c).collect()))
+    monkeypatch.setattr(v, "SENT", 2)
+    assert sorted(map(tuple, v.nearest_centroid(e, "vec_id", "embedding", c).collect())) == near
+    monkeypatch.setattr(v, "SENT", 15)
+    assert sorted(map(tuple, v.nearest_rows(e, "vec_id", "embedding", e, 3).collect())) == whole
+
+
+def test_searches(spark):
+    from weft.operators import search as s
+
+    rows = spark.createDataFrame([("c", 1, "x aa"), ("c", 2, "aa aaa"), ("c", 3, None), ("d", 1, "b")], "series string, at int, text string")
+    got = {(r["series"], r["at"]): (r["before"], r["after"]) for r in s.by_contents(rows, "series", "at", "text", "aa").collect()}
+    assert got == {("c", 1): (0, 1), ("c", 2): (1, 2), ("c", 3): (2, 0)}
+    assert s.by_message(rows, "text", "X A").count() == 1 and s.by_message(rows, "text", "^a+ ", regex=True).count() == 1

@@ -1,8 +1,8 @@
 """Co-occurrence of items that share a transaction.
 
 Pairs are made by an equi-join on the transaction, so the cost is the sum of squared transaction
-sizes.  Transactions above ``max_items`` distinct items say little about any pair; they are counted
-for the items themselves but make no pairs, which bounds the join.
+sizes.  A large transaction is cut into blocks of items, and each pair of blocks is a join key of its
+own, so that no task has to pair all of it.  Large transactions fade by weight; none is left out.
 """
 
 from __future__ import annotations
@@ -17,17 +17,20 @@ def transaction_items(rows: DataFrame, txn: str, item: str, mass: Column | None
     return rows.where(F.col(txn).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(txn).alias("txn"), F.col(item).alias("item")).agg(total.alias("mass"))
 
 
-def pairs(items: DataFrame, max_items: int = 60) -> DataFrame:
-    """(txn, a, b, mass_a, mass_b) with a < b, of transactions with 2 to ``max_items`` items."""
-    sized = items.withColumn("n", F.count("*").over(Window.partitionBy("txn"))).where(F.col("n").between(2, max_items))
-    left = sized.select("txn", "n", F.col("item").alias("a"), F.col("mass").alias("mass_a"))
-    right = sized.select("txn", F.col("item").alias("b"), F.col("mass").alias("mass_b"))
-    return left.join(right, "txn").where("a < b")
+def pairs(items: DataFrame, block: int = 1000) -> DataFrame:
+    """(txn, a, b, mass_a, mass_b) with a < b, of transactions with two items or more."""
+    sized = items.withColumn("n", F.count("*").over(Window.partitionBy("txn"))).where("n >= 2")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = sized.withColumn("last", blocks - 1).withColumn("at", F.pmod(F.hash("item"), blocks))
+    left = own.select("txn", F.col("item").alias("x"), F.col("mass").alias("mx"), F.col("at").alias("i"), F.explode(F.sequence("at", "last")).alias("j"))
+    right = own.select("txn", F.col("item").alias("y"), F.col("mass").alias("my"), F.col("at").alias("j"), F.explode(F.sequence(F.lit(0), "at")).alias("i"))
+    met, swap = left.join(right, ["txn", "i", "j"]).where("x < y or (i < j and x <> y)"), F.col("x") > F.col("y")
+    return met.select("txn", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("my")).otherwise(F.col("mx")).alias("mass_a"), F.when(swap, F.col("mx")).otherwise(F.col("my")).alias("mass_b"))
 
 
-def jaccard_edges(items: DataFrame, max_items: int = 60) -> DataFrame:
+def jaccard_edges(items: DataFrame) -> DataFrame:
     """(a, b, together, score): unweighted Jaccard of the transactions of a and b."""
-    together = pairs(items, max_items).groupBy("a", "b").agg(F.count("*").alias("together"))
+    together = pairs(items).groupBy("a", "b").agg(F.count("*").alias("together"))
     degree = items.groupBy("item").agg(F.count("*").alias("n"))
     return (
         together.join(degree.select(F.col("item").alias("a"), F.col("n").alias("na")), "a")
@@ -36,7 +39,7 @@ def jaccard_edges(items: DataFrame, max_items: int = 60) -> DataFrame:
     )
 
 
-def decayed_edges(items: DataFrame, ranks: DataFrame, half_life: float, max_items: int = 60, knee: float = 60.0) -> DataFrame:
+def decayed_edges(items: DataFrame, ranks: DataFrame, half_life: float, knee: float = 60.0) -> DataFrame:
     """(a, b, score): Jaccard with weight 2^(-age / half_life) * meaning * min(1, knee / items).
 
     ``ranks``: (txn, age, meaning).  An item's total is the weighted sum of its masses, a pair's the
@@ -45,19 +48,21 @@ def decayed_edges(items: DataFrame, ranks: DataFrame, half_life: float, max_item
     size = items.groupBy("txn").agg(F.count("*").alias("size"))
     weight = size.join(ranks, "txn").select("txn", (F.pow(F.lit(2.0), -F.col("age") / half_life) * F.col("meaning") * F.least(F.lit(1.0), F.lit(knee) / F.col("size"))).alias("w"))
     total = items.join(weight, "txn").groupBy("item").agg(F.sum(F.col("w") * F.col("mass")).alias("t"))
-    shared = pairs(items, max_items).join(weight, "txn").groupBy("a", "b").agg(F.sum(F.col("w") * F.sqrt(F.col("mass_a") * F.col("mass_b"))).alias("c"))
+    shared = pairs(items).join(weight, "txn").groupBy("a", "b").agg(F.sum(F.col("w") * F.sqrt(F.col("mass_a") * F.col("mass_b"))).alias("c"))
     joined = shared.join(total.select(F.col("item").alias("a"), F.col("t").alias("ta")), "a").join(total.select(F.col("item").alias("b"), F.col("t").alias("tb")), "b")
     union = F.col("ta") + F.col("tb") - F.col("c")
     return joined.where(union > 0).select("a", "b", (F.col("c") / union).alias("score"))
 
 
 def lagged_edges(items: DataFrame, ranks: DataFrame, half_life: float, lags: int = 3, knee: float = 60.0) -> DataFrame:
-    """(a, b, lag_score): pairs of items in transactions 1 to ``lags`` ranks apart."""
+    """(a, b, lag_score): pairs of items in transactions 1 to ``lags`` ranks apart, each of the two
+    weighted by min(1, knee / items)."""
     size = items.groupBy("txn").agg(F.count("*").alias("size"))
-    rows = items.join(size, "txn").where(F.col("size") <= knee).join(ranks.select("txn", "rank"), "txn").select("item", "mass", "rank", F.pow(F.lit(2.0), -F.col("rank") / half_life).alias("w"))
-    later = rows.select(F.col("item").alias("i2"), F.col("mass").alias("m2"), F.col("w").alias("w2"), "rank", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).select("i2", "m2", "w2", "lag", (F.col("rank") - F.col("lag")).alias("rank"))
+    soft = F.least(F.lit(1.0), F.lit(knee) / F.col("size"))
+    rows = items.join(size, "txn").join(ranks.select("txn", "rank"), "txn").select("item", "mass", "rank", F.pow(F.lit(2.0), -F.col("rank") / half_life).alias("w"), soft.alias("k"))
+    later = rows.select(F.col("item").alias("i2"), F.col("mass").alias("m2"), F.col("w").alias("w2"), F.col("k").alias("k2"), "rank", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).select("i2", "m2", "w2", "k2", "lag", (F.col("rank") - F.col("lag")).alias("rank"))
     met = rows.join(later, "rank").where("item <> i2")
-    score = F.sqrt(F.col("w") * F.col("w2")) / (1 + F.col("lag")) * F.sqrt(F.col("mass") * F.col("m2"))
+    score = F.col("k") * F.col("k2") * F.sqrt(F.col("w") * F.col("w2")) / (1 + F.col("lag")) * F.sqrt(F.col("mass") * F.col("m2"))
     return met.groupBy(F.least("item", "i2").alias("a"), F.greatest("item", "i2").alias("b")).agg(F.sum(score).alias("lag_score"))
 
 
@@ -177,14 +182,13 @@ def coupling_confidence(transactions: int, items: int) -> float:
     return min(1.0, transactions / max(50.0, 0.4 * items))
 
 
-def transaction_graph(items: DataFrame, ranks: DataFrame, k: int = 16, rate: float = 0.1, max_share: int = 50) -> DataFrame:
+def transaction_graph(items: DataFrame, ranks: DataFrame, k: int = 16, rate: float = 0.1) -> DataFrame:
     """(src, dst, w): transactions linked by Jaccard of their items times exp(-rate * rank gap).
 
-    Items in more than ``max_share`` transactions link nothing: they would pair everything.
+    An item's transactions are paired in blocks, as the items of a transaction are.
     """
-    rare = items.withColumn("df", F.count("*").over(Window.partitionBy("item"))).where(F.col("df") <= max_share)
-    one = rare.select("item", F.col("txn").alias("t1"))
-    met = one.join(rare.select("item", F.col("txn").alias("t2")), "item").where("t1 < t2").groupBy("t1", "t2").agg(F.count("*").alias("c"))
+    turned = items.select(F.col("item").alias("txn"), F.col("txn").alias("item"), F.lit(1.0).alias("mass"))
+    met = pairs(turned).groupBy(F.col("a").alias("t1"), F.col("b").alias("t2")).agg(F.count("*").alias("c"))
     size = items.groupBy("txn").agg(F.count("*").alias("n")).join(ranks.select("txn", "rank"), "txn")
     w = F.col("c") / (F.col("n1") + F.col("n2") - F.col("c")) * F.exp(-rate * F.abs(F.col("r1") - F.col("r2")))
     edges = met.join(size.select(F.col("txn").alias("t1"), F.col("n").alias("n1"), F.col("rank").alias("r1")), "t1").join(size.select(F.col("txn").alias("t2"), F.col("n").alias("n2"), F.col("rank").alias("r2")), "t2").select(F.col("t1").alias("a"), F.col("t2").alias("b"), w.alias("score"))

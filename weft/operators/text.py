@@ -16,12 +16,15 @@ def document_frequency(tokens: DataFrame, n_docs: int) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + F.lit(float(n_docs)) / (1 + F.col("df"))))
 
 
-def inverted_index(tokens: DataFrame, most: int = 1000) -> DataFrame:
-    """(token, df, docs): documents of each token of at most ``most``; commoner tokens keep their
-    count and a null list, since a list of everything is no index."""
-    counted = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    rare = tokens.join(counted.where(F.col("df") <= most).select("token"), "token").groupBy("token").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
-    return counted.join(rare, "token", "left")
+def inverted_index(tokens: DataFrame, width: int = 1000) -> DataFrame:
+    """(token, df, part, docs): the documents of each token, in lists of ids that share id div width.
+
+    A token that all documents hold has as many rows as there are such ranges, none of them longer
+    than ``width``.
+    """
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    lists = tokens.groupBy("token", F.floor(F.col("doc") / width).alias("part")).agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    return df.join(lists, "token")
 
 
 def search(tokens: DataFrame, query: list[str], n_docs: int, k: int = 20) -> DataFrame:
@@ -31,19 +34,32 @@ def search(tokens: DataFrame, query: list[str], n_docs: int, k: int = 20) -> Dat
     return hit.join(F.broadcast(df), "token").groupBy("doc").agg(F.sum(1 / (1 + F.col("df") / float(n_docs))).alias("score")).orderBy(F.col("score").desc(), "doc").limit(k)
 
 
-def idf_jaccard(tokens: DataFrame, frequency: DataFrame, most: int = 50) -> DataFrame:
-    """(a, b, score): idf-weighted Jaccard of documents that share a token of at most ``most`` documents.
+def token_classes(tokens: DataFrame) -> DataFrame:
+    """(doc, cls): documents of equal token sets are one class, named by the least of them."""
+    sets = tokens.groupBy("doc").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("token")), "\n"), 256).alias("digest"))
+    least = sets.groupBy("digest").agg(F.min("doc").alias("cls"))
+    return sets.join(least, "digest").select("doc", "cls")
+
+
+def idf_jaccard(tokens: DataFrame, frequency: DataFrame, similarity: float = 0.5) -> DataFrame:
+    """(a, b, score): class representatives whose idf-weighted Jaccard over all tokens reaches ``similarity``.
 
-    Weights of the union use all tokens; pairs are made through the rare ones, so that no token
-    pairs everything with everything.
+    Candidates share a token of both prefixes: of a document's tokens, rarest first, those before
+    which less than 1 - similarity of its weight has passed.  Two sets with no such token share too
+    little, so none is missed, and no common token pairs everything with everything.  Copies are one
+    representative, see :func:`token_classes`.
     """
-    weighted = tokens.join(frequency.select("token", "df", "idf"), "token")
+    own = tokens.join(token_classes(tokens).where("doc = cls").select("doc"), "doc", "left_semi")
+    weighted = own.join(frequency.select("token", "df", "idf"), "token")
     total = weighted.groupBy("doc").agg(F.sum("idf").alias("w"))
-    rare = weighted.where(F.col("df") <= most)
-    a, b = rare.select("token", "idf", F.col("doc").alias("a")), rare.select("token", F.col("doc").alias("b"))
-    inter = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.sum("idf").alias("i"))
+    order = Window.partitionBy("doc").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("idf").over(order), F.lit(0.0))
+    prefix = weighted.withColumn("before", before).join(total, "doc").where(F.col("before") <= (1 - similarity) * F.col("w") + 1e-9).select("token", "doc")
+    met = prefix.withColumnRenamed("doc", "a").join(prefix.withColumnRenamed("doc", "b"), "token").where("a < b").select("a", "b").distinct()
+    of_a = met.join(weighted.select(F.col("doc").alias("a"), "token", "idf"), "a")
+    inter = of_a.join(weighted.select(F.col("doc").alias("b"), "token"), ["b", "token"]).groupBy("a", "b").agg(F.sum("idf").alias("i"))
     out = inter.join(total.select(F.col("doc").alias("a"), F.col("w").alias("wa")), "a").join(total.select(F.col("doc").alias("b"), F.col("w").alias("wb")), "b")
-    return out.select("a", "b", (F.col("i") / (F.col("wa") + F.col("wb") - F.col("i"))).alias("score"))
+    return out.select("a", "b", (F.col("i") / (F.col("wa") + F.col("wb") - F.col("i"))).alias("score")).where(F.col("score") >= similarity)
 
 
 def stop_tokens(frequency: DataFrame) -> DataFrame:

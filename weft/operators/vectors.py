@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,32 +33,44 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "m"))).alias("c")).select("grp", "n", F.transform("c", lambda x: x["m"]).alias("centroid"))
 
 
-#: Rows of a side that is sent to every task.
+#: Rows of a block that is sent to every task.
 SENT = 10_000
 
 
-def _checked(df: DataFrame, what: str) -> DataFrame:
-    n = df.limit(SENT + 1).count()
-    if n > SENT:
-        raise ValueError(f"more than {SENT} {what}; split them")
-    return F.broadcast(df)
+def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
+    """``df`` in blocks of about SENT rows by a hash of ``key``, each small enough to be sent."""
+    n = max(1, -(-df.count() // SENT))
+    return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)) for k in range(n)]
 
 
 def nearest_centroid(rows: DataFrame, key: str, vector: str, centres: DataFrame) -> DataFrame:
-    """(id, grp, distance): the centroid least in rms distance / ln(1 + n); empty ones are skipped."""
-    c = _checked(centres.where("n > 0"), "centroids")
+    """(id, grp, distance): the centroid least in rms distance / ln(1 + n); empty ones are skipped.
+
+    More centroids than are sent at once are compared in blocks, each with all rows.
+    """
     d = rms_distance(F.col(vector), F.col("centroid")) / F.log1p("n")
-    scored = rows.select(F.col(key).alias("id"), vector).join(c, F.lit(True)).select("id", "grp", d.alias("distance"))
-    return scored.groupBy("id").agg(F.min_by("grp", F.struct(F.round("distance", 9), "grp")).alias("grp"), F.min("distance").alias("distance"))
+    own = rows.select(F.col(key).alias("id"), vector)
+    best = [
+        own.join(c, F.lit(True)).select("id", "grp", d.alias("distance")).groupBy("id").agg(F.min_by("grp", F.struct(F.round("distance", 9), "grp")).alias("grp"), F.min("distance").alias("distance"))
+        for c in _blocks(centres.where("n > 0"), "grp")
+    ]
+    if len(best) == 1:
+        return best[0]
+    return reduce(DataFrame.union, best).groupBy("id").agg(F.min_by("grp", F.struct(F.round("distance", 9), "grp")).alias("grp"), F.min("distance").alias("distance"))
 
 
 def nearest_rows(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
-    """(query, id, score, rank): the k rows nearest by cosine to each of a checked number of
-    query vectors, themselves left out."""
-    q = _checked(queries.select(F.col(key).alias("query"), F.col(vector).alias("qv")), "query vectors")
-    scored = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).join(q, F.col("id") != F.col("query")).select("query", "id", cosine(F.col("v"), F.col("qv")).alias("score")).where(F.col("score") >= least)
+    """(query, id, score, rank): the k rows nearest by cosine to each query vector, itself left out.
+
+    A stated set of queries against all rows, in blocks of queries; each task keeps k rows of a
+    query before anything moves.
+    """
     order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    own, found = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")), []
+    for q in _blocks(queries.select(F.col(key).alias("query"), F.col(vector).alias("qv")), "query"):
+        scored = own.join(q, F.col("id") != F.col("query")).select("query", "id", cosine(F.col("v"), F.col("qv")).alias("score")).where(F.col("score") >= least)
+        found.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return reduce(DataFrame.union, found)
 
 
 def walsh(values: Column, n: int) -> Column:

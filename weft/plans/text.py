@@ -34,12 +34,21 @@ def keyword_search(t):
     return x.search(tokens(t), ["tion", "theaea", "ingre", "auch"], t("documents").count())
 
 
-@query(TOKENS + """, w AS (SELECT doc, sum(idf) AS w FROM tok JOIN fr USING (token) GROUP BY 1),
-i AS (SELECT p.doc AS a, q.doc AS b, sum(idf) AS i FROM tok p JOIN tok q ON p.token = q.token AND p.doc < q.doc JOIN fr ON fr.token = p.token AND df <= 8 GROUP BY 1, 2)
-SELECT a, b, round(i / (x.w + y.w - i), 6) AS score FROM i JOIN w x ON x.doc = a JOIN w y ON y.doc = b""")
+CLASSES = TOKENS + """, c AS (SELECT doc, min(doc) OVER (PARTITION BY s) AS cls FROM (SELECT doc, list_sort(ts) AS s FROM d WHERE len(ts) > 0))"""
+
+
+@query(CLASSES + "SELECT doc, cls FROM c")
+def token_classes(t):
+    """Documents of equal token sets."""
+    return x.token_classes(tokens(t))
+
+
+@query(CLASSES + """, u AS (SELECT tok.doc, token, idf FROM tok JOIN c ON c.doc = tok.doc AND c.cls = c.doc JOIN fr USING (token)), w AS (SELECT doc, sum(idf) AS w FROM u GROUP BY 1),
+i AS (SELECT p.doc AS a, q.doc AS b, sum(p.idf) AS i FROM u p JOIN u q ON p.token = q.token AND p.doc < q.doc GROUP BY 1, 2)
+SELECT a, b, round(i / (x.w + y.w - i), 6) AS score FROM i JOIN w x ON x.doc = a JOIN w y ON y.doc = b WHERE i / (x.w + y.w - i) >= 0.2""")
 def idf_jaccard(t):
-    """Documents that share tokens of at most eight documents."""
-    return x.idf_jaccard(tokens(t), frequency(t), most=8)
+    """Pairs of token sets with an idf-weighted Jaccard of 0.2 or more."""
+    return x.idf_jaccard(tokens(t), frequency(t), 0.2)
 
 
 @query(TOKENS + """, h AS (SELECT df, ln(df) AS t, ln(sum(count(*)) OVER (ORDER BY df DESC)) AS y FROM fr GROUP BY 1),
@@ -50,9 +59,9 @@ def stop_tokens(t):
     return x.stop_tokens(frequency(t))
 
 
-@query(TOKENS + ", l AS (SELECT token, array_to_string(list_sort(list(doc)), ',') AS docs FROM tok GROUP BY 1) SELECT token, df, CASE WHEN df <= 200 THEN docs END AS docs FROM fr JOIN l USING (token)")
+@query(TOKENS + "SELECT token, any_value(df) AS df, (doc // 1000)::BIGINT AS part, array_to_string(list_sort(list(doc)), ',') AS docs FROM tok JOIN fr USING (token) GROUP BY token, doc // 1000")
 def inverted_index(t):
-    out = x.inverted_index(tokens(t), most=200)
+    out = x.inverted_index(tokens(t))
     return out.withColumn("docs", F.array_join(F.col("docs").cast("array<string>"), ","))
 
 

@@ -270,11 +270,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     ready, back = cooled(distinct, length, gram, hot)
     shards = ready.repartition("key").sortWithinPartitions("key", "digest")
     found = written(shards.mapInPandas(_sort(length, shard_bytes, memory), "digest binary, low int, high int"), "found", "zstd")
-    for step in reversed(back):
-        whole = found.join(step, "digest").select(F.col("of").alias("digest"), (F.col("low") + F.col("offset")).alias("low"), (F.col("high") + F.col("offset")).alias("high"))
-        found = found.union(whole)
+    known, deeper = found, None
+    for step in reversed(back):  # what is known of halves leads to the pieces they were cut from
+        below = found if deeper is None else found.union(deeper)
+        offset = F.col("offset")
+        deeper = written(below.join(step, "digest").select(F.col("of").alias("digest"), (F.col("low") + offset).alias("low"), (F.col("high") + offset).alias("high")).distinct(), "mapped", "zstd")
+        known = known.union(deeper)
     span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    marks = found.join(cut.select("digest", "row", "start"), "digest").select("row", span.alias("span")).distinct()
+    marks = known.join(cut.select("digest", "row", "start"), "digest").select("row", span.alias("span")).distinct()
     spans = marks.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans")).select("row", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
     out = written(spans, "spans", "zstd")
     remove(cut)

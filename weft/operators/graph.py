@@ -8,6 +8,7 @@ costs no earlier step.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

@@ -44,3 +44,9 @@ def test_components_of_chains_and_empty(spark):
 def test_fragmentation_counts_isolated_nodes(spark):
     r = g.fragmentation(edges(spark, [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 0.1)]), 0.5, 5).first()
     assert (r["components"], r["cycle_rank"]) == (3, 1) and r["largest_share"] == pytest.approx(0.6)
+
+
+def test_fragmentation_curve(spark):
+    rows = [(0, 1, 1.0), (1, 2, 0.6), (0, 2, 0.5), (3, 4, 0.1), (2, 3, 0.05)]
+    got = [tuple(x) for x in g.fragmentation_curve(edges(spark, rows), [0.9, 0.5, 0.1, 0.01, 2.0], 6).collect()]
+    assert [x[:2] + (round(x[2] * 6), x[3]) for x in got] == [(0.9, 5, 2, 0), (0.5, 4, 3, 1), (0.1, 3, 3, 1), (0.01, 2, 5, 1), (2.0, 6, 1, 0)]

@@ -119,6 +119,19 @@ def fragmentation(edges: DataFrame, threshold: float, n_nodes: int) -> DataFrame
     return s.crossJoin(e).select((F.col("c") + isolated).alias("components"), (F.greatest("largest", F.lit(1 if n_nodes else 0)) / max(1, n_nodes)).alias("largest_share"), (F.col("m") - n_nodes + F.col("c") + isolated).alias("cycle_rank"))
 
 
+def fragmentation_curve(edges: DataFrame, thresholds: list[float], n_nodes: int) -> DataFrame:
+    """(threshold, components, largest_share, cycle_rank) at each of a few given thresholds.
+
+    The edges are computed once, and only those that reach the lowest threshold are kept.
+    """
+    kept = cut(edges.where(F.col("w") >= min(thresholds)))
+    rows = [fragmentation(kept, x, n_nodes).select(F.lit(float(x)).alias("threshold"), "components", "largest_share", "cycle_rank") for x in thresholds]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.union(row)
+    return out
+
+
 def coarsen(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b, w): cross-group weights summed, inner ones dropped.  ``groups``: (node, grp)."""
     g = edges.join(groups.select(F.col("node").alias("a"), F.col("grp").alias("ga")), "a").join(groups.select(F.col("node").alias("b"), F.col("grp").alias("gb")), "b").where("ga <> gb")

@@ -94,6 +94,11 @@ def fragmentation(t):
     return g.fragmentation(graph(t), 0.05, t("part").count())
 
 
+@query()
+def fragmentation_curve(t):
+    return g.fragmentation_curve(graph(t), [0.2, 0.1, 0.05], t("part").count())
+
+
 @query()
 def borrowed_labels(t):
     """Brands spread from every third part to the rest."""

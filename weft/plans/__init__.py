@@ -1,6 +1,6 @@
 """Registered queries over the standard tables, with the SQL that must give the same rows."""
 
-from . import activity, conflicts, coupling, evidence, graph, listings, relations, rollups, search, series, spectrum, text, vectors  # noqa: F401
+from . import activity, conflicts, coupling, evidence, fields, graph, listings, relations, rollups, search, series, spectrum, text, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

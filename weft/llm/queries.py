@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, edit_counts, exact_dedup, hard_negatives, html_diff, line_dedup, quality_rules, secret_link, simhash_mih, suffix_dedup, tier_packing, wu_manber
+from . import bitpack, edit_counts, exact_dedup, hard_negatives, html_diff, line_dedup, quality_rules, secret_link, simhash_mih, suffix_dedup, tier_packing, turn_repair, wu_manber
 from .common import table
 from .tokens import vocabulary_path
 
@@ -59,6 +59,10 @@ def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_induced_sorting, op3_url_differencing, op4_bit_packing, op5_edit_counts, op6_secret_link, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules, op11_blocked_gemm, op12_digest_index)}
+def op13_tight_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
-ORACLES = {"op10_quality_rules": quality_rules.ORACLE, "op11_blocked_gemm": hard_negatives.ORACLE, "op12_digest_index": exact_dedup.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_induced_sorting, op3_url_differencing, op4_bit_packing, op5_edit_counts, op6_secret_link, op7_tier_packing, op8_simhash_mih, op9_wu_manber, op10_quality_rules, op11_blocked_gemm, op12_digest_index, op13_tight_arcs)}
+
+ORACLES = {"op10_quality_rules": quality_rules.ORACLE, "op11_blocked_gemm": hard_negatives.ORACLE, "op12_digest_index": exact_dedup.ORACLE, "op13_tight_arcs": turn_repair.ORACLE}

@@ -41,28 +41,30 @@ def heat(rows: DataFrame, item: str, at: str, key: str, now: Column, newest: int
     return recent.groupBy(F.col(item).alias("item")).agg(F.least(F.lit(1.0), F.sum(F.exp(-days_between(now, F.col(at)) / scale))).alias("heat"))
 
 
-def quantile_cut(df: DataFrame, column: str, share: float) -> float | None:
-    """The value at index floor(share * n) of the ascending order, found without gathering it."""
-    # percentile_disc takes index ceil(p * n) - 1; the next value's rank is that of (k + 1) / n.
-    n = df.where(F.col(column).isNotNull()).count()
-    if not n:
-        return None
-    k = min(n - 1, int(share * n))
-    return df.agg(F.expr(f"percentile_disc({(k + 0.5) / n}) within group (order by {column})")).first()[0]
+def quantile_cuts(df: DataFrame, column: str, *shares: float) -> DataFrame:
+    """One row (cut0, cut1, ..): the values at index floor(share * n) of the ascending order.
+
+    They come from a histogram of the distinct values, which a running sum orders; rows are not.
+    """
+    hist = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
+    order = Window.orderBy("x")
+    hist = hist.select("x", F.sum("n").over(order).alias("upto"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    at = [F.least(F.col("all") - 1, F.floor(F.round(F.col("all") * share, 6))) for share in shares]
+    return hist.agg(*(F.min(F.when(F.col("upto") > k, F.col("x"))).alias(f"cut{i}") for i, k in enumerate(at)))
 
 
 def lifecycles(alive: DataFrame, high: float = 0.90, mid: float = 0.70) -> DataFrame:
     """(item, touches, alive, stage) by quantiles of touches and the share still alive."""
-    top, upper = quantile_cut(alive, "touches", high), quantile_cut(alive, "touches", mid)
+    cuts = F.broadcast(quantile_cuts(alive, "touches", high, mid))
     share = F.col("alive") / F.col("touches")
     stage = (
-        F.when((F.col("touches") >= F.lit(top)) & (share >= 0.4), "keystone")
+        F.when((F.col("touches") >= F.col("cut0")) & (share >= 0.4), "keystone")
         .when(share >= 0.7, "active")
-        .when(share >= 0.4, F.when(F.col("touches") >= F.lit(upper), "stable").otherwise("warm"))
+        .when(share >= 0.4, F.when(F.col("touches") >= F.col("cut1"), "stable").otherwise("warm"))
         .when(share >= 0.15, "cooling")
         .otherwise("dormant")
     )
-    return alive.select("item", "touches", "alive", stage.alias("stage"))
+    return alive.crossJoin(cuts).select("item", "touches", "alive", stage.alias("stage"))  # with one row
 
 
 def daily_counts(rows: DataFrame, at: str, *keys: str) -> DataFrame:
@@ -107,9 +109,10 @@ def pivots(rows: DataFrame, txn: str, item: str, mass: str, k: int = 6) -> DataF
 
 
 def ewma(rows: DataFrame, item: str, value: str, order: list[str], rate: float = 1 - 2 ** (-1 / 90)) -> DataFrame:
-    """(item, ewma): a fold from oldest to newest, from zero."""
-    series = rows.groupBy(F.col(item).alias("item")).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v")))).alias("s"))
-    return series.select("item", F.aggregate("s", F.lit(0.0), lambda a, x: a * (1 - rate) + x["v"] * rate).alias("ewma"))
+    """(item, ewma): a fold from oldest to newest, from zero, by each value's closed weight."""
+    after = F.row_number().over(Window.partitionBy(item).orderBy(*(F.desc(c) for c in order), F.desc(value))) - 1
+    weighed = rows.select(F.col(item).alias("item"), (F.col(value).cast("double") * rate * F.pow(F.lit(1 - rate), after)).alias("x"))
+    return weighed.groupBy("item").agg(F.sum("x").alias("ewma"))
 
 
 def z_scores(df: DataFrame, item: str, value: str) -> DataFrame:
@@ -121,9 +124,9 @@ def z_scores(df: DataFrame, item: str, value: str) -> DataFrame:
 
 def integrity(df: DataFrame, item: str, cue: str, n: str, prior: float = 0.85) -> DataFrame:
     """(item, integrity): a cue shrunk to the prior; tau is the touches at index n / 4."""
-    tau = quantile_cut(df, n, 0.25) or 1
-    keep = 1 - F.exp(-F.col(n) / F.lit(float(max(1, tau))))
-    return df.select(F.col(item).alias("item"), (F.lit(prior) + (F.col(cue) - prior) * keep).alias("integrity"))
+    cuts = F.broadcast(quantile_cuts(df, n, 0.25))  # one row
+    keep = 1 - F.exp(-F.col(n) / F.greatest(F.lit(1.0), F.col("cut0").cast("double")))
+    return df.crossJoin(cuts).select(F.col(item).alias("item"), (F.lit(prior) + (F.col(cue) - prior) * keep).alias("integrity"))
 
 
 def ancestors(rows: DataFrame, path: str, mass: str, separator: str = "/") -> DataFrame:

@@ -10,6 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
+#: Ranges of a score whose counts are one small table.
+BINS = 4096
+#: Items of a set that are looked up one by one.
+SMALL = 64
+
 
 def transaction_items(rows: DataFrame, txn: str, item: str, mass: Column | None = None) -> DataFrame:
     """(txn, item, mass): one row for each item of a transaction; mass is at least 1."""
@@ -68,8 +75,8 @@ def lagged_edges(items: DataFrame, ranks: DataFrame, half_life: float, lags: int
 
 def both_ways(edges: DataFrame, weight: str = "score") -> DataFrame:
     """(src, dst, w): each undirected edge from both sides."""
-    one = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col(weight).alias("w"))
-    return one.union(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col(weight).alias("w")))
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.col(weight).alias("w"))
+    return edges.select(F.inline(F.array(way("a", "b"), way("b", "a"))))  # one pass over what makes the edges
 
 
 def centrality(edges: DataFrame, weight: str = "score") -> DataFrame:
@@ -79,7 +86,7 @@ def centrality(edges: DataFrame, weight: str = "score") -> DataFrame:
 
 def top_neighbours(edges: DataFrame, k: int, least: float = 0.0, weight: str = "score") -> DataFrame:
     """(src, dst, w, rank): the k strongest neighbours of each item, ties by neighbour."""
-    order = Window.partitionBy("src").orderBy(F.col("w").desc(), "dst")
+    order = Window.partitionBy("src").orderBy(F.round("w", 9).desc(), "dst")
     return both_ways(edges, weight).where(F.col("w") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -95,8 +102,8 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, k: int = 20, weight: str =
     ``seeds``: one column ``seed``.  Ties go to the lesser item; via is the seed of the best edge.
     """
     near = both_ways(edges, weight).join(seeds.select(F.col("seed").alias("src")).distinct(), "src").join(seeds.select(F.col("seed").alias("dst")), "dst", "left_anti")
-    best = near.groupBy(F.col("dst").alias("item")).agg(F.max("w").alias("score"), F.min_by("src", F.struct(-F.col("w"), "src")).alias("via"))
-    return best.orderBy(F.col("score").desc(), "item").limit(k)
+    best = near.groupBy(F.col("dst").alias("item")).agg(F.max("w").alias("score"), F.min_by("src", F.struct(-F.round("w", 9), "src")).alias("via"))
+    return best.orderBy(F.round("score", 9).desc(), "item").limit(k)
 
 
 def coherence(edges: DataFrame, sets: DataFrame, weight: str = "score") -> DataFrame:
@@ -112,20 +119,31 @@ def coherence(edges: DataFrame, sets: DataFrame, weight: str = "score") -> DataF
 
 
 def missing_peers(edges: DataFrame, sets: DataFrame, confidence: float = 1.0, least: float = 0.05, k: int = 5, weight: str = "score") -> DataFrame:
-    """(set_id, item, score, anchor): items outside a set with the highest mean score to it."""
+    """(set_id, item, score, anchor): items outside a set with the highest mean score to it.
+
+    A mean that reaches ``least`` has a term that does, so only items with one edge of that weight into
+    the set are scored.  Sets of up to ``SMALL`` items look up an edge for each of their items, larger
+    ones go through the candidate's own neighbours.
+    """
     members = sets.select("set_id", "item").distinct()
     size = members.groupBy("set_id").agg(F.count("*").alias("size"))
-    near = members.withColumnRenamed("item", "src").join(both_ways(edges, weight), "src")
-    outside = near.join(members.withColumnRenamed("item", "dst"), ["set_id", "dst"], "left_anti")
-    scored = outside.groupBy("set_id", "dst").agg(F.sum("w").alias("s"), F.min_by("src", F.struct(-F.col("w"), "src")).alias("anchor")).join(size, "set_id")
-    scored = scored.select("set_id", F.col("dst").alias("item"), (F.col("s") / F.col("size") * confidence).alias("score"), "anchor").where(F.col("score") >= least)
+    ways = cut(both_ways(edges, weight))
+    of_set = members.withColumnRenamed("item", "src").join(size, "set_id")
+    strong = of_set.join(ways.where(F.col("w") * confidence >= least - 1e-9), "src").select("set_id", "size", "dst").distinct()
+    outside = strong.join(members.withColumnRenamed("item", "dst"), ["set_id", "dst"], "left_anti")
+    by_item = outside.where(F.col("size") <= SMALL).join(of_set.drop("size"), "set_id").join(ways, ["src", "dst"])
+    by_neighbour = outside.where(F.col("size") > SMALL).join(ways, "dst").join(of_set.drop("size"), ["set_id", "src"])
+    near = by_item.unionByName(by_neighbour.select(*by_item.columns))
+    scored = near.groupBy("set_id", "size", "dst").agg(F.sum("w").alias("s"), F.min_by("src", F.struct(-F.round("w", 9), "src")).alias("anchor"))
+    score = F.round(F.col("s") / F.col("size") * confidence, 9)
+    scored = scored.select("set_id", F.col("dst").alias("item"), score.alias("score"), "anchor").where(F.col("score") >= least)
     order = Window.partitionBy("set_id").orderBy(F.col("score").desc(), "item")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
 def ghosts(live: DataFrame, shadow: DataFrame, least: float = 0.05, k: int = 50, weight: str = "score") -> DataFrame:
     """(a, b, score): shadow edges without a live one, the strongest k."""
-    return shadow.join(live.select("a", "b"), ["a", "b"], "left_anti").where(F.col(weight) >= least).orderBy(F.col(weight).desc(), "a", "b").limit(k).select("a", "b", F.col(weight).alias("score"))
+    return shadow.join(live.select("a", "b"), ["a", "b"], "left_anti").where(F.col(weight) >= least).orderBy(F.round(weight, 9).desc(), "a", "b").limit(k).select("a", "b", F.col(weight).alias("score"))
 
 
 def deja_vu(live: DataFrame, shadow: DataFrame) -> DataFrame:
@@ -143,15 +161,19 @@ def blended(live: DataFrame, shadow: DataFrame, discount: float = 0.5) -> DataFr
 def keystones(edges: DataFrame, touches: DataFrame, share: float = 0.1, least: int = 3) -> DataFrame:
     """(item, touches, pull, keystone, is_keystone): pull / ln(1 + touches), the top share flagged.
 
-    Ranks of a global order come from a sort, not a one-task window: the cut is the score of the
-    item at the cut's place.
+    No task orders all items: a histogram of ``BINS`` ranges of the score tells how many items stand
+    above each range, and a rank within its range completes it.
     """
     pull = both_ways(edges).groupBy(F.col("src").alias("item")).agg(F.sum("w").alias("pull"))
-    scored = touches.join(pull, "item").select("item", "touches", "pull", (F.col("pull") / F.log1p("touches")).alias("keystone"))
-    n = scored.count()
-    most = max(least, -(-int(n * share * 1000) // 1000)) if n else 0
-    top = scored.orderBy(F.col("keystone").desc(), "item").limit(most).select("item", F.lit(True).alias("flag"))
-    return scored.join(top, "item", "left").select("item", "touches", "pull", "keystone", F.coalesce("flag", F.lit(False)).alias("is_keystone"))
+    scored = cut(touches.join(pull, "item").select("item", "touches", "pull", (F.col("pull") / F.log1p("touches")).alias("keystone")))
+    ends = scored.agg(F.min(F.round("keystone", 9)).alias("low"), F.max(F.round("keystone", 9)).alias("high"))
+    place = F.floor((F.round("keystone", 9) - F.col("low")) / (F.col("high") - F.col("low")) * BINS)
+    binned = scored.crossJoin(F.broadcast(ends)).withColumn("bin", F.when(F.col("high") > F.col("low"), place).otherwise(F.lit(0))).drop("low", "high")
+    hist = binned.groupBy("bin").agg(F.count("*").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hist = hist.select("bin", above.alias("above"), F.greatest(F.lit(least), F.ceil(F.round(F.sum("n").over(Window.partitionBy(F.lit(0))) * share, 6))).alias("most"))
+    rank = F.col("above") + F.row_number().over(Window.partitionBy("bin").orderBy(F.round("keystone", 9).desc(), "item"))
+    return binned.join(F.broadcast(hist), "bin").select("item", "touches", "pull", "keystone", (rank <= F.col("most")).alias("is_keystone"))
 
 
 def architecture(edges: DataFrame, groups: DataFrame, volatility: DataFrame, sample: int = 8) -> DataFrame:
@@ -160,7 +182,9 @@ def architecture(edges: DataFrame, groups: DataFrame, volatility: DataFrame, sam
     ``groups``: (item, grp); ``volatility``: (item, volatility).
     """
     inside = edges.join(groups.select(F.col("item").alias("a"), "grp"), "a").join(groups.select(F.col("item").alias("b"), F.col("grp").alias("grp_b")), "b").where("grp = grp_b").groupBy("grp").agg(F.count("*").alias("inner_edges"), F.avg("score").alias("mean_inner"))
-    sampled = groups.join(volatility, "item", "left").groupBy("grp").agg(F.count("*").alias("n_items"), F.avg("volatility").alias("mean_volatility"), F.slice(F.array_sort(F.collect_list("item")), 1, sample).alias("sample"))
+    ranked = groups.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy("item"))).where(F.col("nth") <= sample)
+    samples = ranked.groupBy("grp").agg(F.array_sort(F.collect_list("item")).alias("sample"))  # ``sample`` items each
+    sampled = groups.join(volatility, "item", "left").groupBy("grp").agg(F.count("*").alias("n_items"), F.avg("volatility").alias("mean_volatility")).join(samples, "grp")
     return sampled.where("n_items >= 2").join(inside, "grp", "left").select("grp", "n_items", F.coalesce("inner_edges", F.lit(0)).alias("inner_edges"), F.coalesce("mean_inner", F.lit(0.0)).alias("mean_inner"), "mean_volatility", "sample")
 
 

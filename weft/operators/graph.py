@@ -34,7 +34,8 @@ def clean(edges: DataFrame) -> DataFrame:
 
 
 def both(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.col("w").alias("w"))
+    return edges.select(F.inline(F.array(way("a", "b"), way("b", "a"))))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -193,5 +194,5 @@ def attribution(axes: DataFrame, sources: DataFrame, t: float = 1.0) -> DataFram
     for p in parts[1:]:
         whole = whole.union(p)
     total = F.sum("phi").over(Window.partitionBy("node"))
-    order = Window.partitionBy("node").orderBy(F.col("phi").desc(), "axis")
+    order = Window.partitionBy("node").orderBy(F.round("phi", 9).desc(), "axis")
     return whole.withColumns({"share": F.col("phi") / total, "r": F.row_number().over(order)}).where("r = 1").drop("r")

@@ -38,7 +38,7 @@ def ghosts_within(live: DataFrame, shadow: DataFrame, sets: DataFrame, discount:
     members = sets.select("set_id", "item").distinct()
     only = shadow.where(F.col(weight) > 0).join(live.where(F.col(weight) > 0).select("a", "b"), ["a", "b"], "left_anti")
     inside = only.join(members.withColumnRenamed("item", "a"), "a").join(members.withColumnRenamed("item", "b"), ["set_id", "b"])
-    order = Window.partitionBy("set_id").orderBy(F.col(weight).desc(), "a", "b")
+    order = Window.partitionBy("set_id").orderBy(F.round(weight, 9).desc(), "a", "b")
     return inside.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("set_id", "a", "b", F.col(weight).alias("score"), (F.col(weight) * discount).alias("effective"))
 
 
@@ -49,7 +49,7 @@ def test_map(edges: DataFrame, seeds: DataFrame, tests: DataFrame, k: int = 15,
     """
     near = both_ways(edges, weight).join(seeds.select(F.col("seed").alias("src")).distinct(), "src").join(tests.select(F.col("item").alias("dst")).distinct(), "dst")
     first = near.groupBy(F.col("dst").alias("item")).agg(F.min_by("w", "src").alias("score"), F.min("src").alias("anchor"))
-    return first.orderBy(F.col("score").desc(), "item").limit(k)
+    return first.orderBy(F.round("score", 9).desc(), "item").limit(k)
 
 
 def recent_near(edges: DataFrame, seeds: DataFrame, items: DataFrame, ranks: DataFrame, least: float = 0.2, most: int = 30, k: int = 10, weight: str = "score") -> DataFrame:
@@ -60,7 +60,7 @@ def recent_near(edges: DataFrame, seeds: DataFrame, items: DataFrame, ranks: Dat
     """
     chosen = seeds.select("seed").distinct()
     near = both_ways(edges, weight).where(F.col("w") > least).join(chosen.withColumnRenamed("seed", "src"), "src")
-    nearest = Window.partitionBy("src").orderBy(F.col("w").desc(), "dst")
+    nearest = Window.partitionBy("src").orderBy(F.round("w", 9).desc(), "dst")
     near = near.withColumn("n", F.row_number().over(nearest)).where(F.col("n") < most).select(F.col("src").alias("seed"), F.col("dst").alias("item"))
     around = chosen.select("seed", F.col("seed").alias("item")).union(near)
     touched = around.join(items.select("txn", "item"), "item").select("seed", "txn").distinct().join(ranks.select("txn", "rank"), "txn")
@@ -84,7 +84,7 @@ def with_nodes(edges: DataFrame, links: DataFrame) -> DataFrame:
 
 def top_arcs(arcs: DataFrame, k: int, strength: str = "flow") -> DataFrame:
     """(src, dst, strength): the k strongest directed arcs, ties by src, dst."""
-    return arcs.select("src", "dst", F.col(strength).alias("strength")).orderBy(F.col("strength").desc(), "src", "dst").limit(k)
+    return arcs.select("src", "dst", F.col(strength).alias("strength")).orderBy(F.round("strength", 9).desc(), "src", "dst").limit(k)
 
 
 def change_weights(*parts: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def compound_events(samples: DataFrame, least: int = 2, k: int = 3) -> DataFrame
     finite = steps.where("low is not null and value is not null and base is not null and low > 0 and high > low and not isnan(value) and not isnan(base) and abs(value) < double('inf') and abs(base) < double('inf')")
     change = F.abs(F.col("value") - F.col("base"))
     jump = F.when(F.abs("base") < 1e-9, change).otherwise(change / F.abs("base")) / F.log(F.col("high") / F.col("low"))
-    order = Window.partitionBy("series", "observable").orderBy(F.col("jump").desc(), "high")
+    order = Window.partitionBy("series", "observable").orderBy(F.round("jump", 9).desc(), "high")
     top = finite.withColumn("jump", jump).where("jump > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.groupBy("series", "low", "high").agg(F.count("*").alias("observables"), F.sum("jump").alias("magnitude")).where(F.col("observables") >= least)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def token_rows(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(doc, token): the distinct tokens of each document."""
@@ -31,7 +33,7 @@ def search(tokens: DataFrame, query: list[str], n_docs: int, k: int = 20) -> Dat
     """(doc, score): sum over matched query tokens of 1 / (1 + df / n), the best k."""
     hit = tokens.where(F.col("token").isin(*query))
     df = hit.groupBy("token").agg(F.count("*").alias("df"))
-    return hit.join(F.broadcast(df), "token").groupBy("doc").agg(F.sum(1 / (1 + F.col("df") / float(n_docs))).alias("score")).orderBy(F.col("score").desc(), "doc").limit(k)
+    return hit.join(F.broadcast(df), "token").groupBy("doc").agg(F.sum(1 / (1 + F.col("df") / float(n_docs))).alias("score")).orderBy(F.round("score", 9).desc(), "doc").limit(k)
 
 
 def token_classes(tokens: DataFrame) -> DataFrame:
@@ -44,22 +46,35 @@ def token_classes(tokens: DataFrame) -> DataFrame:
 def idf_jaccard(tokens: DataFrame, frequency: DataFrame, similarity: float = 0.5) -> DataFrame:
     """(a, b, score): class representatives whose idf-weighted Jaccard over all tokens reaches ``similarity``.
 
-    Candidates share a token of both prefixes: of a document's tokens, rarest first, those before
-    which less than 1 - similarity of its weight has passed.  Two sets with no such token share too
-    little, so none is missed, and no common token pairs everything with everything.  Copies are one
+    Tokens are in one order, rarest first.  Of a pair, the lighter set must share at least
+    2s / (1 + s) of its weight and the heavier one s of its own, so the pair meets on a token before
+    which the rest of either is still that heavy; these are the two prefixes, and no pair is missed.
+    The tokens shared within the prefixes are summed where they meet: what is shared besides lies
+    beyond the earlier of the two prefixes' ends, so a sum plus that rest bounds the intersection, and
+    only pairs whose bound reaches the similarity are scored over all tokens.  Copies are one
     representative, see :func:`token_classes`.
     """
+    s = similarity
     own = tokens.join(token_classes(tokens).where("doc = cls").select("doc"), "doc", "left_semi")
-    weighted = own.join(frequency.select("token", "df", "idf"), "token")
+    weighted = cut(own.join(frequency.select("token", "df", "idf"), "token"))
     total = weighted.groupBy("doc").agg(F.sum("idf").alias("w"))
     order = Window.partitionBy("doc").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("idf").over(order), F.lit(0.0))
-    prefix = weighted.withColumn("before", before).join(total, "doc").where(F.col("before") <= (1 - similarity) * F.col("w") + 1e-9).select("token", "doc")
-    met = prefix.withColumnRenamed("doc", "a").join(prefix.withColumnRenamed("doc", "b"), "token").where("a < b").select("a", "b").distinct()
-    of_a = met.join(weighted.select(F.col("doc").alias("a"), "token", "idf"), "a")
-    inter = of_a.join(weighted.select(F.col("doc").alias("b"), "token"), ["b", "token"]).groupBy("a", "b").agg(F.sum("idf").alias("i"))
-    out = inter.join(total.select(F.col("doc").alias("a"), F.col("w").alias("wa")), "a").join(total.select(F.col("doc").alias("b"), F.col("w").alias("wb")), "b")
-    return out.select("a", "b", (F.col("i") / (F.col("wa") + F.col("wb") - F.col("i"))).alias("score")).where(F.col("score") >= similarity)
+    placed = weighted.withColumn("before", before).join(total, "doc")
+    probe = placed.where(F.col("before") <= (1 - s) * F.col("w") + 1e-9)
+    index = placed.where(F.col("before") <= (1 - 2 * s / (1 + s)) * F.col("w") + 1e-9)
+    ends = lambda p: p.groupBy("doc").agg(F.max(F.struct("df", "token")).alias("end"), F.min(F.col("w") - F.col("before") - F.col("idf")).alias("rest"))
+    side = lambda p, x: p.select("token", F.col("idf").alias("idf"), F.col("doc").alias(x), F.col("w").alias(f"w{x}"))
+    lighter = (F.col("wx") < F.col("wy")) | ((F.col("wx") == F.col("wy")) & (F.col("x") < F.col("y")))
+    met = side(index, "x").join(side(probe, "y").drop("idf"), "token").where(lighter & (F.col("wx") >= s * F.col("wy") - 1e-9))
+    sums = met.groupBy("x", "y", "wx", "wy").agg(F.sum("idf").alias("p"))
+    rest = lambda p, x: ends(p).select(F.col("doc").alias(x), F.col("end").alias(f"end{x}"), F.col("rest").alias(f"rest{x}"))
+    bound = F.col("p") + F.when(F.col("endx") <= F.col("endy"), F.col("restx")).otherwise(F.col("resty"))
+    needed = (F.col("wx") + F.col("wy")) * (s / (1 + s)) - 1e-9
+    pairs = cut(sums.join(rest(index, "x"), "x").join(rest(probe, "y"), "y").where(bound >= needed).select("x", "y", "wx", "wy"))
+    of_x = pairs.join(weighted.select(F.col("doc").alias("x"), "token", "idf"), "x")
+    inter = of_x.join(weighted.select(F.col("doc").alias("y"), "token"), ["y", "token"]).groupBy("x", "y", "wx", "wy").agg(F.sum("idf").alias("i"))
+    return inter.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("i") / (F.col("wx") + F.col("wy") - F.col("i"))).alias("score")).where(F.col("score") >= similarity)
 
 
 def stop_tokens(frequency: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,15 +64,60 @@ def nearest_centroid(rows: DataFrame, key: str, vector: str, centres: DataFrame)
 def nearest_rows(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
     """(query, id, score, rank): the k rows nearest by cosine to each query vector, itself left out.
 
-    A stated set of queries against all rows, in blocks of queries; each task keeps k rows of a
-    query before anything moves.
+    A stated set of queries against all rows, in blocks of ``SENT_BYTES`` of queries that are sent to
+    every task.  A task holds its unit rows against a block by matrix products and keeps k rows of a
+    query; these merge by a ranked window.
     """
     order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "id")
-    own, found = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")), []
-    for q in _blocks(queries.select(F.col(key).alias("query"), F.col(vector).alias("qv")), "query"):
-        scored = own.join(q, F.col("id") != F.col("query")).select("query", "id", cosine(F.col("v"), F.col("qv")).alias("score")).where(F.col("score") >= least)
-        found.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-    return reduce(DataFrame.union, found)
+    sized = queries.select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("v")).where("query is not null and v is not null")
+    total = sized.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))).first()[0]
+    n = 2 * total // SENT_BYTES + 1
+    own, found = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null"), []
+    kind = dict(own.dtypes)["id"]
+    for part in range(n):
+        block = sized.where(F.pmod(F.xxhash64("query"), F.lit(n)) == part).toArrow()  # about half of SENT_BYTES
+        if block.num_rows:
+            sent = rows.sparkSession.sparkContext.broadcast((block["query"].to_numpy(), _unit(block["v"])))
+            found.append(own.mapInArrow(_nearest(sent, k, least), f"query {kind}, id {kind}, score double"))
+    if not found:
+        return rows.sparkSession.createDataFrame([], f"query {kind}, id {kind}, score double, rank int")
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Bytes of query vectors that are sent to every task at once.
+SENT_BYTES = 32 << 20
+
+
+def _unit(vectors) -> np.ndarray:
+    """Rows scaled to length 1; null components and rows of length 0 are zeros."""
+    lists = vectors.to_pylist()
+    out = np.zeros((len(lists), max(map(len, lists), default=0)))
+    for row, x in zip(out, lists, strict=True):
+        row[: len(x)] = [0.0 if y is None else y for y in x]
+    length = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+
+
+def _nearest(sent, k: int, least: float, rows: int = 2048, tile: int = 512):
+    def task(batches):
+        queries, q = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids, v = part["id"].to_numpy(), _unit(part["v"])
+                width = min(q.shape[1], v.shape[1])
+                by_id = np.argsort(ids, kind="stable")
+                ids, v = ids[by_id], v[by_id]
+                for t in range(0, len(queries), tile):
+                    score = q[t : t + tile, :width] @ v[:, :width].T
+                    score[(queries[t : t + tile, None] == ids) | (score < least)] = -np.inf
+                    near = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+                    kept = np.take_along_axis(score, near, 1)
+                    row, col = np.nonzero(kept > -np.inf)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([pa.array(queries[t + row]), pa.array(ids[near[row, col]]), pa.array(kept[row, col])], ["query", "id", "score"])
+
+    return task
 
 
 def walsh(values: Column, n: int) -> Column:

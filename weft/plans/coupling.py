@@ -87,12 +87,12 @@ def coupling_centrality(t):
     return c.centrality(edges(t))
 
 
-@query(BASE + "SELECT src, dst, round(w, 6) AS w, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst)::INT AS rank FROM sym) WHERE rank <= 5")
+@query(BASE + "SELECT src, dst, round(w, 6) AS w, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst)::INT AS rank FROM sym) WHERE rank <= 5")
 def coupling_top_neighbours(t):
     return c.top_neighbours(edges(t), 5)
 
 
-@query(BASE + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(w), 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM sym) WHERE rank <= 3 GROUP BY 1, 2")
+@query(BASE + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(w), 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst) AS rank FROM sym) WHERE rank <= 3 GROUP BY 1, 2")
 def coupling_symmetrised(t):
     return c.symmetrised(edges(t), 3)
 
@@ -101,8 +101,8 @@ SEEDS = ", seeds AS (SELECT p_partkey AS seed FROM part WHERE p_partkey % 20 = 0
 
 
 @query(BASE + SEEDS + """
-SELECT dst AS item, round(max(w), 6) AS score, arg_min(src, (-w, src)) AS via FROM sym WHERE src IN (SELECT seed FROM seeds) AND dst NOT IN (SELECT seed FROM seeds)
-GROUP BY 1 ORDER BY max(w) DESC, 1 LIMIT 20""")
+SELECT dst AS item, round(max(w), 6) AS score, arg_min(src, (-round(w, 9), src)) AS via FROM sym WHERE src IN (SELECT seed FROM seeds) AND dst NOT IN (SELECT seed FROM seeds)
+GROUP BY 1 ORDER BY round(max(w), 9) DESC, 1 LIMIT 20""")
 def blast_radius(t):
     """What the seed parts pull along: the twenty strongest neighbours (a top-k report)."""
     return c.blast_radius(edges(t), seeds(t))
@@ -119,7 +119,7 @@ def coupling_coherence(t):
 
 @query(BASE + """, sets AS (SELECT DISTINCT l_orderkey AS set_id, l_partkey AS item FROM lineitem),
 k AS (SELECT set_id, count(*) AS size FROM sets GROUP BY 1),
-m AS (SELECT set_id, dst AS item, sum(w) / any_value(size) AS score, arg_min(src, (-w, src)) AS anchor FROM sets JOIN sym ON src = sets.item JOIN k USING (set_id)
+m AS (SELECT set_id, dst AS item, round(sum(w) / any_value(size), 9) AS score, arg_min(src, (-round(w, 9), src)) AS anchor FROM sets JOIN sym ON src = sets.item JOIN k USING (set_id)
  WHERE NOT EXISTS (FROM sets z WHERE z.set_id = sets.set_id AND z.item = dst) GROUP BY 1, 2 HAVING score >= 0.02)
 SELECT set_id, item, round(score, 6) AS score, anchor FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY score DESC, item) AS r FROM m) WHERE r <= 5""")
 def coupling_missing_peers(t):
@@ -130,7 +130,7 @@ def coupling_missing_peers(t):
 LIVE, RETURNED = "l_returnflag <> 'R'", "l_returnflag = 'R'"
 
 
-@query(SHADOW + "SELECT a, b, round(score, 6) AS score FROM shadow s WHERE score >= 0.05 AND NOT EXISTS (FROM live l WHERE l.a = s.a AND l.b = s.b) ORDER BY s.score DESC, a, b LIMIT 50")
+@query(SHADOW + "SELECT a, b, round(score, 6) AS score FROM shadow s WHERE score >= 0.05 AND NOT EXISTS (FROM live l WHERE l.a = s.a AND l.b = s.b) ORDER BY round(s.score, 9) DESC, a, b LIMIT 50")
 def coupling_ghosts(t):
     """Pairs that only returned lines have."""
     return c.ghosts(edges(t, LIVE), edges(t, RETURNED))
@@ -177,7 +177,7 @@ def hyperedge_lift(t):
  (SELECT x.txn AS t1, y.txn AS t2, count(*) AS c FROM items x JOIN items y ON x.item = y.item AND x.txn < y.txn GROUP BY 1, 2)
  JOIN (SELECT txn, n, rank FROM sized JOIN ranks USING (txn) GROUP BY ALL) x ON x.txn = t1 JOIN (SELECT txn, n, rank FROM sized JOIN ranks USING (txn) GROUP BY ALL) y ON y.txn = t2),
 s AS (SELECT a AS src, b AS dst, score AS w FROM e UNION ALL SELECT b, a, score FROM e)
-SELECT src, dst, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM s) WHERE r <= 4""")
+SELECT src, dst, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst) AS r FROM s) WHERE r <= 4""")
 def transaction_graph(t):
     """Orders linked by shared parts and nearness in time, four links each."""
     return c.transaction_graph(items(t), ranks(t), k=4)

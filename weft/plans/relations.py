@@ -56,20 +56,20 @@ def symbol_edges(t):
 
 @query(SHADOW + """, o AS (SELECT s.* FROM shadow s ANTI JOIN live l ON l.a = s.a AND l.b = s.b),
 i AS (SELECT x.p_brand AS set_id, o.a, o.b, o.score FROM o JOIN part x ON x.p_partkey = o.a JOIN part y ON y.p_partkey = o.b AND y.p_brand = x.p_brand)
-SELECT set_id, a, b, round(score, 6) AS score, round(score * 0.5, 6) AS effective FROM i QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY score DESC, a, b) <= 10""")
+SELECT set_id, a, b, round(score, 6) AS score, round(score * 0.5, 6) AS effective FROM i QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY round(score, 9) DESC, a, b) <= 10""")
 def ghosts_within_brands(t):
     sets = t("part").select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("item"))
     return r.ghosts_within(edges(t, "l_returnflag <> 'R'"), edges(t, "l_returnflag = 'R'"), sets)
 
 
 @query(BASE + """, m AS (SELECT dst AS item, arg_min(w, src) AS score, min(src) AS anchor FROM sym JOIN part ON p_partkey = dst WHERE src % 20 = 0 AND p_size > 40 GROUP BY 1)
-SELECT item, round(score, 6) AS score, anchor FROM m ORDER BY m.score DESC, item LIMIT 15""")
+SELECT item, round(score, 6) AS score, anchor FROM m ORDER BY round(m.score, 9) DESC, item LIMIT 15""")
 def seed_tests(t):
     """Large parts stand for tests."""
     return r.test_map(edges(t), seeds(t), t("part").where("p_size > 40").select(F.col("p_partkey").alias("item")))
 
 
-@query(BASE + """, n AS (SELECT src AS seed, dst AS item FROM sym WHERE w > 0.02 AND src % 20 = 0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) < 30),
+@query(BASE + """, n AS (SELECT src AS seed, dst AS item FROM sym WHERE w > 0.02 AND src % 20 = 0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst) < 30),
 around AS (FROM n UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 20 = 0),
 touched AS (SELECT DISTINCT seed, txn FROM around JOIN items USING (item))
 SELECT seed, txn, row_number() OVER (PARTITION BY seed ORDER BY rank) AS nth FROM touched JOIN ranks USING (txn) QUALIFY nth <= 10""")
@@ -145,7 +145,7 @@ def alive_half_lives(t):
 @query("""WITH d AS (SELECT event_type AS series, date_diff('day', DATE '2024-01-01', ts::DATE) + 1 AS day, count(*)::DOUBLE AS n, sum(value) AS total, max(value) AS top FROM events GROUP BY 1, 2),
 s AS (UNPIVOT d ON n, total, top INTO NAME observable VALUE value), l AS (SELECT series, observable, day AS high, value, lag(day) OVER w AS low, lag(value) OVER w AS base FROM s WINDOW w AS (PARTITION BY series, observable ORDER BY day)),
 j AS (SELECT *, CASE WHEN abs(base) < 1e-9 THEN abs(value - base) ELSE abs(value - base) / abs(base) END / ln(high / low) AS jump FROM l WHERE low IS NOT NULL),
-k AS (SELECT * FROM j WHERE jump > 0 QUALIFY row_number() OVER (PARTITION BY series, observable ORDER BY jump DESC, high) <= 3)
+k AS (SELECT * FROM j WHERE jump > 0 QUALIFY row_number() OVER (PARTITION BY series, observable ORDER BY round(jump, 9) DESC, high) <= 3)
 SELECT series, low, high, count(*) AS observables, round(sum(jump), 6) AS magnitude FROM k GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def compound_events(t):
     """Days on which two or more measures of an event type jump."""

@@ -28,7 +28,7 @@ def token_frequency(t):
     return frequency(t)
 
 
-@query(TOKENS + "SELECT doc, round(sum(1 / (1 + df / n)), 6) AS score FROM tok JOIN fr USING (token), n WHERE token IN ('tion', 'theaea', 'ingre', 'auch') GROUP BY 1 ORDER BY sum(1 / (1 + df / n)) DESC, 1 LIMIT 20")
+@query(TOKENS + "SELECT doc, round(sum(1 / (1 + df / n)), 6) AS score FROM tok JOIN fr USING (token), n WHERE token IN ('tion', 'theaea', 'ingre', 'auch') GROUP BY 1 ORDER BY round(sum(1 / (1 + df / n)), 9) DESC, 1 LIMIT 20")
 def keyword_search(t):
     """The twenty best documents for four words (a top-k report)."""
     return x.search(tokens(t), ["tion", "theaea", "ingre", "auch"], t("documents").count())

@@ -121,16 +121,10 @@ def fragmentation(edges: DataFrame, threshold: float, n_nodes: int) -> DataFrame
 
 
 def fragmentation_curve(edges: DataFrame, thresholds: list[float], n_nodes: int) -> DataFrame:
-    """(threshold, components, largest_share, cycle_rank) at each of a few given thresholds.
+    """(threshold, components, largest_share, cycle_rank) at each given threshold: cuts of one forest."""
+    from .forest import sweep
 
-    The edges are computed once, and only those that reach the lowest threshold are kept.
-    """
-    kept = cut(edges.where(F.col("w") >= min(thresholds)))
-    rows = [fragmentation(kept, x, n_nodes).select(F.lit(float(x)).alias("threshold"), "components", "largest_share", "cycle_rank") for x in thresholds]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.union(row)
-    return out
+    return sweep(edges, thresholds, n_nodes)
 
 
 def coarsen(edges: DataFrame, groups: DataFrame) -> DataFrame:

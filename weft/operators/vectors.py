@@ -121,11 +121,15 @@ def _nearest(sent, k: int, least: float, rows: int = 2048, tile: int = 512):
 
 
 def walsh(values: Column, n: int) -> Column:
-    """Walsh-Hadamard coefficients of an array of 2^n values, unnormalised."""
-    size = 1 << n
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.transform(values, lambda x, j: x * F.when(F.bit_count(k.bitwiseAND(j)) % 2 == 1, -1.0).otherwise(1.0)), F.lit(0.0), lambda a, x: a + x))
+    """Walsh-Hadamard coefficients of an array of 2^n values, unnormalised, in n steps of sums and differences."""
+    for bit in range(n):
+        mask = 1 << bit
+        partner = lambda v, j: F.get(v, j.bitwiseXOR(F.lit(mask)))  # noqa: B023, E731
+        step = lambda v: F.transform(v, lambda x, j: F.when(j.bitwiseAND(F.lit(mask)) == 0, x + partner(v, j)).otherwise(partner(v, j) - x))  # noqa: B023, E731
+        values = F.transform(F.array(values), step)[0]  # binds the array once
+    return values
 
 
 def signs(vector: Column) -> Column:
-    """A long with bit k set where element k is positive, for up to 63 elements."""
-    return F.aggregate(F.transform(F.slice(vector, 1, 63), lambda x, k: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    """A long with bit k set where element k is positive, for up to 64 elements."""
+    return F.aggregate(F.transform(F.slice(vector, 1, 64), lambda x, k: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))

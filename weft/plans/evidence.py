@@ -62,13 +62,13 @@ def subset_inverse(t):
     return e.subset_sums(e.subset_sums(cells, 4), 4, invert=True).select(F.col("cell").cast("int").alias("cell"), "v").where("v <> 0")
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS x, unnest(range(0, 8)) AS j FROM embeddings),
-w AS (SELECT vec_id, k, sum(x * CASE WHEN bit_count((k & j)::BIGINT) % 2 = 1 THEN -1 ELSE 1 END) AS c FROM e, range(0, 8) r(k) GROUP BY 1, 2)
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS j FROM embeddings),
+w AS (SELECT vec_id, k, sum(x * CASE WHEN bit_count((k & j)::BIGINT) % 2 = 1 THEN -1 ELSE 1 END) AS c FROM e, range(0, 64) r(k) GROUP BY 1, 2)
 SELECT vec_id AS grp, bit_count(k::BIGINT)::INT AS bits, round(sum(c * c), 5) AS energy FROM w GROUP BY 1, 2""", places=5)
 def order_spectrum(t):
     from ..operators import vectors as v
 
-    w = v.walsh(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")), 3)
+    w = v.walsh(F.transform("embedding", lambda x: x.cast("double")), 6)
     return e.order_spectrum(t("embeddings").select(F.col("vec_id").alias("grp"), F.posexplode(w).alias("k", "c")))
 
 

@@ -41,14 +41,14 @@ def norms(t):
     return t("embeddings").select("vec_id", v.norm(F.col("embedding")).alias("norm"))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS x, unnest(range(0, 8)) AS j FROM embeddings)
-SELECT vec_id, k::INT AS k, round(sum(x * CASE WHEN bit_count((k & j)::BIGINT) % 2 = 1 THEN -1 ELSE 1 END), 6) AS c FROM e, range(0, 8) r(k) GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS j FROM embeddings)
+SELECT vec_id, k::INT AS k, round(sum(x * CASE WHEN bit_count((k & j)::BIGINT) % 2 = 1 THEN -1 ELSE 1 END), 6) AS c FROM e, range(0, 64) r(k) GROUP BY 1, 2""")
 def walsh_spectrum(t):
-    """Walsh-Hadamard coefficients of the first eight dimensions."""
-    w = v.walsh(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")), 3)
+    """Walsh-Hadamard coefficients of all dimensions."""
+    w = v.walsh(F.transform("embedding", lambda x: x.cast("double")), 6)
     return t("embeddings").select("vec_id", F.posexplode(w).alias("k", "c"))
 
 
-@query("""SELECT vec_id, sum(CASE WHEN x > 0 THEN (1::BIGINT << (k - 1)) ELSE 0 END)::BIGINT AS signs FROM (SELECT vec_id, unnest(embedding[1:32]) AS x, unnest(range(1, 33)) AS k FROM embeddings) GROUP BY 1""")
+@query("""SELECT vec_id, sum(CASE WHEN x > 0 THEN CASE WHEN k = 64 THEN -9223372036854775808 ELSE 1::BIGINT << (k - 1) END ELSE 0 END)::BIGINT AS signs FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(1, 65)) AS k FROM embeddings) GROUP BY 1""")
 def sign_sketches(t):
-    return t("embeddings").select("vec_id", v.signs(F.slice("embedding", 1, 32)).alias("signs"))
+    return t("embeddings").select("vec_id", v.signs(F.col("embedding")).alias("signs"))

@@ -8,10 +8,12 @@ which it shares more leading path segments, then characters; of two equally near
 The lines of both are aligned by longest common subsequence, and lines they share are deleted as
 the site's furniture, on every page.
 
-Lines inside an ``article`` or ``main`` element are protected: neighbouring URLs often hold copies of
-an article or quote the same passages, and deleting what they share would delete the article.  A
-page without such an element that shares nine tenths of its characters with its partner is taken
-for a copy and is left whole.
+Inside an ``article`` or ``main`` element structure hides only what is named, whole, as comments,
+adverts or forms.  Differencing decides there too, but needs more support, as neighbouring URLs often hold
+copies of an article or quote the same passages: a line that is links for the most part (a share row,
+"read also") goes if it is aligned with both neighbours and the page's other lines are not the partner's
+by half.  A page without such an element that shares nine tenths of its characters with its partner is
+taken for a copy and is left whole.
 
 Html never moves: each page becomes its lines where it is read.  Lines are range-partitioned by
 (host, path, page_id), which cuts a host of any size, and written; the first and the last page of
@@ -19,9 +21,9 @@ each range then also go to the ranges beside it, so a page has the same two neig
 ranges are cut.  A page alone on its host has no partner and loses nothing but its furniture.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated
-rows come back each and are neighbours of each other.  A very long page is one row; its alignment
-needs memory in proportion to the lines that are on both pages, squared, and beyond ``CELLS`` it
-matches unique lines only.  An empty table gives no rows.
+rows come back each and are neighbours of each other.  A very long page is one row; alignments of any
+size are found by the same rule, in rows of bits of which a square root is kept.  An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -29,11 +31,10 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
+from math import isqrt
 from urllib.parse import urlsplit
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,8 +68,13 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 NEVER = frozenset("body html main h1 h2 h3 h4 h5 h6".split())
 #: Of the names only these hide an article.
 REMARKS = frozenset("comment comments reply replies".split())
-#: Cells of an alignment's table.
-CELLS = 25_000_000
+#: Whole names of class, id or role that hide an element inside the main text.
+INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements adsbygoogle sponsored comment comments commentlist comment-list comment-form "
+    "comment-section comments-section comments-area disqus_thread form search-form signup-form newsletter-form contact-form".split()
+)
+#: Share of a line's characters in links from which it is a line of links.
+LINKED = 0.8
 
 
 def furniture(tag: str, attributes: str, inside: bool = False) -> bool:
@@ -81,7 +87,10 @@ def furniture(tag: str, attributes: str, inside: bool = False) -> bool:
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if any(w.lower() in (REMARKS if tag == "article" else NAMES) for w in WORD.findall(value)):
+        if inside:
+            if any(w in INSIDE for w in value.lower().split()):
+                return True
+        elif any(w.lower() in (REMARKS if tag == "article" else NAMES) for w in WORD.findall(value)):
             return True
     return False
 
@@ -89,24 +98,41 @@ def furniture(tag: str, attributes: str, inside: bool = False) -> bool:
 ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
 
 
-def lines_of(page: str | None) -> list[tuple[str, bool]]:
-    """(line, whether inside article or main) of a page, in page order.
+#: Where a line lies: outside article and main, inside, inside and for the most part links.
+OUT, IN, LINKS = 0, 1, 2
+
+
+def unclosed(page: str, at: int, tag: str) -> bool:
+    """Whether an element that is open at ``at`` has no end tag of its own in the rest of the page."""
+    return len(re.findall(f"</{tag}\\s*>", page[at:], re.I)) <= len(re.findall(f"<{tag}[\\s>]", page[at:], re.I))
+
+
+def lines_of(page: str | None) -> list[tuple[str, int]]:
+    """(line, where it lies) of a page, in page order.
 
     Open elements are kept in a stack; an end tag closes all that is still open inside its element,
     and one without a start is ignored.
     """
     page = page or ""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # (tag, hidden, main)
-    hidden = main = 0
+    hidden = main = linked = 0
+    link = False
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
             line = " ".join(entities.unescape("".join(buffer)).split())
             if line:
-                out.append((line, main > 0))
+                out.append((line, OUT if not main else LINKS if linked >= LINKED * sum(map(len, buffer)) else IN))
             buffer.clear()
+            linked = 0
+
+    def text(piece: str) -> None:
+        nonlocal linked
+        buffer.append(piece)
+        linked += len(piece) if link else 0
 
     def close(k: int) -> None:
         nonlocal hidden, main
@@ -119,15 +145,17 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
         m = MARKUP.search(page, at)
         if m is None:
             if not hidden:
-                buffer.append(page[at:])
+                text(page[at:])
             break
         if not hidden and m.start() > at:
-            buffer.append(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag, closing, attributes = tag.lower(), bool(m[1]), m[3]
+        if tag == "a":
+            link = not closing
         if tag in RAW and not closing:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -150,6 +178,10 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
         if tag in ("body", "main") or ROLE_MAIN.search(attributes):  # these stand in no other element but body
             k = next((k for k, x in enumerate(stack) if x[1]), len(stack))
             close(k)
+        elif tag == "article" and hidden:  # an element that never ends does not hide what follows it
+            k = next(k for k, x in enumerate(stack) if x[1])
+            if unclosed(page, at, stack[k][0]):
+                close(k)
         hides, mains = furniture(tag, attributes, main > 0), tag in ("article", "main") or bool(ROLE_MAIN.search(attributes))
         if hides and not hidden:
             flush()
@@ -160,21 +192,44 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def _increasing(xs: list[int], ys: list[int], x: list[str], y: list[str], once: set[str], base: int) -> set[int]:
-    """Indexes of a longest increasing run of places in ``y`` of the lines ``once`` of ``x``."""
-    place = {y[k]: k for k in ys if y[k] in once}
-    tails: list[int] = []
-    ends: list[int] = []
-    back: dict[int, int] = {}
-    for k in xs:
-        if x[k] in place:
-            at = bisect_left(tails, place[x[k]])
-            tails[at : at + 1], ends[at : at + 1] = [place[x[k]]], [k]
-            back[k] = ends[at - 1] if at else -1
-    found, k = set(), ends[-1] if ends else -1
-    while k >= 0:
-        found.add(base + k)
-        k = back[k]
+def _bit_rows(start: int, codes: list[int], masks: dict[int, int], full: int) -> list[int]:
+    """Rows of the alignment's table as bits, from the row ``start`` on: a bit is 0 where the length of the
+    longest common subsequence grows by one from left to right."""
+    rows = [start]
+    for c in codes:
+        v, m = rows[-1], masks[c]
+        rows.append(((v + (v & m)) | (v & ~m)) & full)
+    return rows
+
+
+def _pairs(cx: list[int], cy: list[int]) -> list[int]:
+    """Places in ``cx`` of a longest common subsequence with ``cy``, traced back from the ends: a match is
+    taken where it lengthens the subsequence, else the step goes up if that loses nothing, else left.
+
+    Every ``isqrt``-th row is kept and the rows between are made again on the way back, so the result is
+    the same at any size and memory grows with rows of bits times the root of their number.
+    """
+    full, masks = (1 << len(cy)) - 1, {}
+    for k, c in enumerate(cy):
+        masks[c] = masks.get(c, 0) | 1 << k
+    every, kept = isqrt(len(cx)) + 1, [full]
+    for at in range(0, len(cx), every):
+        kept.append(_bit_rows(kept[-1], cx[at : at + every], masks, full)[-1])
+    length = lambda row, c: c - (row & ((1 << c) - 1)).bit_count()
+    found, r, c, block, rows = [], len(cx), len(cy), -1, []
+    while r and c:
+        if (r - 1) // every != block:
+            block = (r - 1) // every
+            rows = _bit_rows(kept[block], cx[block * every : (block + 1) * every], masks, full)
+        here, up = rows[r - block * every], rows[r - 1 - block * every]
+        now, above = length(here, c), length(up, c)
+        if cx[r - 1] == cy[c - 1] and now == length(up, c - 1) + 1:
+            found.append(r - 1)
+            r, c = r - 1, c - 1
+        elif above >= now - (not here >> (c - 1) & 1):
+            r -= 1
+        else:
+            c -= 1
     return found
 
 
@@ -190,27 +245,8 @@ def common(a: list[str], b: list[str]) -> set[int]:
     x, y = a[i : len(a) - j], b[i : len(b) - j]
     both = set(x) & set(y)  # lines of one side alone take no part
     xs, ys = [k for k, s in enumerate(x) if s in both], [k for k, s in enumerate(y) if s in both]
-    if not xs or not ys:
-        return found
-    if len(xs) * len(ys) > CELLS:
-        once = {s for s in both if x.count(s) == y.count(s) == 1} if len(both) < 10_000 else both
-        return found | _increasing(xs, ys, x, y, once, i)
     code = {s: k for k, s in enumerate(both)}
-    cx, cy = np.array([code[x[k]] for k in xs]), np.array([code[y[k]] for k in ys])
-    table = np.zeros((len(cx) + 1, len(cy) + 1), np.int32)
-    for r in range(len(cx)):
-        hit = np.where(cy == cx[r], table[r, :-1] + 1, 0)
-        table[r + 1, 1:] = np.maximum.accumulate(np.maximum(table[r, 1:], hit))
-    r, c = len(cx), len(cy)
-    while r and c:
-        if cx[r - 1] == cy[c - 1] and table[r, c] == table[r - 1, c - 1] + 1:
-            found.add(i + xs[r - 1])
-            r, c = r - 1, c - 1
-        elif table[r - 1, c] >= table[r, c - 1]:
-            r -= 1
-        else:
-            c -= 1
-    return found
+    return found | {i + xs[k] for k in _pairs([code[x[k]] for k in xs], [code[y[k]] for k in ys])}
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -233,14 +269,19 @@ def closeness(a: tuple[str, str], b: tuple[str, str]) -> tuple[int, int]:
     return segments, characters
 
 
-def main_text(own: list[tuple[str, bool]], partner: list[tuple[str, bool]] | None) -> str:
-    """The main text of a page with lines ``own`` beside its nearest page."""
-    if partner and not all(inside for _, inside in own):
+def main_text(own: list[tuple[str, int]], partner: list[tuple[str, int]] | None, other: list[tuple[str, int]] | None = None) -> str:
+    """The main text of a page with lines ``own`` beside its nearest page and the neighbour on its other side."""
+    if partner and not all(where == IN for _, where in own):
         lines = [line for line, _ in own]
         shared = common(lines, [line for line, _ in partner])
-        copy = not any(inside for _, inside in own) and 10 * sum(len(lines[k]) for k in shared) >= 9 * sum(map(len, lines))
-        if not copy:
-            own = [x for k, x in enumerate(own) if x[1] or k not in shared]
+        sizes = lambda at: sum(len(lines[k]) for k in at)
+        copy = not any(where for _, where in own) and 10 * sizes(shared) >= 9 * sum(map(len, lines))
+        gone = set() if copy else {k for k in shared if own[k][1] == OUT}
+        text = [k for k, x in enumerate(own) if x[1] == IN]
+        if other and any(where == LINKS for _, where in own) and 2 * sizes(shared.intersection(text)) < sizes(text):
+            twice = shared & common(lines, [line for line, _ in other])
+            gone |= {k for k in twice if own[k][1] == LINKS}
+        own = [x for k, x in enumerate(own) if k not in gone]
     return "\n".join(line for line, _ in own)
 
 
@@ -248,14 +289,14 @@ KEY = ("host", "path", "page_id", "tie")
 LINES = "page_id string, url string, host string, path string, lines binary"
 
 
-def folded(lines: list[tuple[str, bool]]) -> bytes:
-    """Lines as they travel: each behind a mark of whether it is inside, compressed."""
-    return zlib.compress("\n".join("01"[inside] + line for line, inside in lines).encode("utf-8", "surrogatepass"), 6)
+def folded(lines: list[tuple[str, int]]) -> bytes:
+    """Lines as they travel: each behind a mark of where it lies, compressed."""
+    return zlib.compress("\n".join("012"[where] + line for line, where in lines).encode("utf-8", "surrogatepass"), 6)
 
 
-def unfolded(data: bytes) -> list[tuple[str, bool]]:
+def unfolded(data: bytes) -> list[tuple[str, int]]:
     text = zlib.decompress(data).decode("utf-8", "surrogatepass")
-    return [(x[1:], x[0] == "1") for x in text.split("\n")] if text else []
+    return [(x[1:], int(x[0])) for x in text.split("\n")] if text else []
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -274,8 +315,8 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     range_, before, due = None, None, None
 
     def text(page, after) -> str:
-        near = max((x for x in (before, after) if x and x[0][0] == page[0][0]), key=lambda x: closeness(x[0], page[0]), default=None)
-        return main_text(page[1], near and near[1])
+        beside = sorted((x for x in (before, after) if x and x[0][0] == page[0][0]), key=lambda x: closeness(x[0], page[0]), reverse=True)
+        return main_text(page[1], *(x[1] for x in beside)) if beside else main_text(page[1], None)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["page_id", "url", "text"])

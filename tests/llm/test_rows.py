@@ -238,3 +238,22 @@ def test_trees_follow_random_edits(corpus):
             tree.edit(a, b, word)
             now = now[:a] + word + now[b:]
             assert (tree.text(), tree.tokens, tree.chars) == (now, count(now), len(now))
+
+
+def test_parts_of_configurations_and_of_prose(spark):
+    key = "Ab3d" * 21 + "Zz=="
+    value = "Qw3rTyUi9oPas5dFgh7Z"
+    rows = [
+        (1, f"db_host=db.internal db_user=root db_pass={value}"),
+        (2, f"AccountName=store1;AccountKey={key};EndpointSuffix=x"),
+        (3, f"DB_USERNAME=alice\nDB_SIGNING='{value}'"),
+        (4, "just a CamelCaseIdentifier12345678 and visit https://example.com"),
+        (5, "class=CamelCaseIdentifier12345678 alone"),
+        (6, "superuser=root localhost=x " + value[:10]),
+    ]
+    got = {r["doc_id"]: r["spans"] for r in secret_link.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: [(k, rows[i - 1][1][int(a) : int(b)]) for k, a, b in (x.split(":") for x in s.split(",") if s)] for i, s in got.items()}
+    assert found[1] == [("identifier", "host=db.internal"), ("identifier", "user=root"), ("secret", value)]
+    assert found[2] == [("identifier", "AccountName=store1"), ("secret", key)]
+    assert found[3] == [("identifier", "USERNAME=alice"), ("secret", value)]
+    assert found[4] == found[5] == found[6] == []

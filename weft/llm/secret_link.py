@@ -9,8 +9,8 @@ Base kinds, leftmost and non-overlapping each, are always reported:
 Weak kinds say little on their own and are reported only when complementary parts stand near:
 
     secret      20 or more base64 or base64url characters with capitals, lower case and digits,
-                outside base spans
-    identifier  a user, login, client or account name and its value
+                outside base spans, behind = or :, or with digits in two places or more
+    identifier  a user, login, client, account or host name and its value; db_user counts
     endpoint    a URL's scheme and host, or an IPv4 address, with an optional port
 
 A weak secret is reported if an access key, identifier or endpoint starts within ``reach``
@@ -41,8 +41,13 @@ ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
-SECRET = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
-IDENTIFIER = r"""\b(?i:user|username|login|client_id|account|account_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}"""
+#: A value told by what stands before it, or by digits in two places or more, as a long word of a text rarely has.
+SECRET = (
+    r"""(?<![A-Za-z0-9+/_.-])(?:(?<=[:=])|(?<=[:=]["'])|(?<=[:=]\x20)|(?<=[:=]\x20["'])|(?=(?:[A-Za-z+/_-]*+[0-9]++){2}))"""
+    r"(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
+)
+#: The name may be the last part of a longer one, as in DB_USER or aws_account_id.
+IDENTIFIER = r"""(?<![A-Za-z0-9])(?i:user|user_?name|login|client_?id|account|account_?id|account_?name|host|host_?name|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}"""
 ENDPOINT = r"(?:\b[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.]))"
 
 KINDS = ("assign", "access", "hex", "secret", "identifier", "endpoint")

@@ -83,13 +83,14 @@ def bursts(daily: DataFrame, k: int = 3) -> DataFrame:
     return daily.orderBy(F.col("n").desc(), "day").limit(k)
 
 
-def gaps(daily: DataFrame, k: int = 2) -> DataFrame:
-    """(day, gap_days): the first ``k`` days after more than a day of silence.
+def gaps(daily: DataFrame, k: int = 2, *keys: str) -> DataFrame:
+    """(keys, day, gap_days): the first ``k`` days after more than a day of silence, for each of the keys.
 
-    One row per day with activity, so the ordered window is over a calendar, not over the data.
+    One row per day with activity, so an ordered window is over a calendar, not over the data.
     """
-    before = F.lag("day").over(Window.orderBy("day"))
-    return daily.select("day", F.datediff(F.col("day"), before).alias("gap_days")).where("gap_days > 1").orderBy("day").limit(k)
+    order = Window.partitionBy(*keys).orderBy("day") if keys else Window.orderBy("day")
+    late = daily.select(*keys, "day", F.datediff(F.col("day"), F.lag("day").over(order)).alias("gap_days")).where("gap_days > 1")
+    return late.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
 def experts(rows: DataFrame, item: str, actor: str, at: str, key: str, newest: int = 50, k: int = 5) -> DataFrame:

@@ -174,3 +174,31 @@ def text_chunks(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(doc, chunk, start, content): fixed-size pieces of each text."""
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / size)).cast("int")
     return rows.select(F.col(key).alias("doc"), F.col(text).alias("t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).select("doc", "chunk", (F.col("chunk") * size).alias("start"), F.substring(F.col("t"), F.col("chunk") * size + 1, F.lit(size)).alias("content"))
+
+
+#: A word of a subject: a letter, then up to 47 letters, digits, _ or -.  Fixed value.
+SUBJECT_WORD = r"\p{L}[\p{L}\p{N}_\-]{0,47}"
+
+
+def structural_words(rows: DataFrame, subject: str, share: float = 0.10, longest: int = 4, first: float = 0.25, upper: float = 0.35, least: int = 3) -> DataFrame:
+    """(word, subjects, leading, shouted): short words that hold subjects together, found in the corpus alone.
+
+    Such a word stands in a ``share`` of the subjects (two at least), is short, seldom leads, and is
+    seldom written in capitals.  Subjects count behind "kind(scope): "; those of one word, of one letter
+    held down, or of "update" and a file name are noise.  Below ``least`` subjects there is no word.
+    """
+    plain = F.regexp_replace(F.trim(subject), r"\A\w+(\([^)]*\))?\s*:\s*", "")
+    split = rows.select(plain.alias("s")).select("s", F.regexp_extract_all("s", F.lit(SUBJECT_WORD), F.lit(0)).alias("w"))
+    letters = F.lower(F.regexp_replace("s", r"[^\p{L}]", ""))
+    held_down = (F.length(letters) >= 4) & (F.replace(letters, F.substring(letters, 1, 1), F.lit("")) == "")
+    named = F.col("s").rlike(r"(?i)\Aupdate\s+[\w\-./]{1,80}\.[\w]{1,8}\z")
+    clean = split.withColumn("low", F.transform("w", lambda x: F.lower(x))).where((F.size(F.array_distinct("low")) > 1) & ~held_down & ~named)
+    seen = clean.select("low", F.posexplode("w").alias("at", "raw")).withColumn("word", F.lower("raw"))
+    shouted = F.col("raw").rlike(r"\p{Lu}") & ~F.col("raw").rlike(r"\p{Ll}") & (F.length("raw") >= 2)
+    counts = seen.groupBy("word").agg(
+        F.count_if(F.array_position("low", F.col("word")) == F.col("at") + 1).alias("subjects"), F.count_if(F.col("at") == 0).alias("leads"), F.count("*").alias("n"), F.count_if(shouted).alias("caps")
+    )
+    total = clean.agg(F.count("*").alias("total"))
+    enough = (F.col("total") >= least) & (F.col("subjects") >= F.greatest(F.lit(2), F.floor(F.col("total") * share)))
+    ranked = counts.crossJoin(F.broadcast(total)).select("word", "subjects", (F.col("leads") / F.col("subjects")).alias("leading"), (F.col("caps") / F.col("n")).alias("shouted"), enough.alias("enough"))
+    return ranked.where(F.col("enough") & (F.length("word") <= longest) & (F.col("leading") <= first) & (F.col("shouted") <= upper)).drop("enough")

@@ -81,11 +81,12 @@ def burst_days(t):
     return a.bursts(a.daily_counts(t("orders"), "o_orderdate")).withColumn("day", F.col("day").cast("string"))
 
 
-@query("""SELECT day::VARCHAR AS day, gap::INT AS gap_days FROM (SELECT day, date_diff('day', lag(day) OVER (ORDER BY day), day) AS gap FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_custkey = 1))
-WHERE gap > 1 ORDER BY day LIMIT 2""")
+@query("""SELECT customer, day::VARCHAR AS day, gap::INT AS gap_days FROM (SELECT customer, day, date_diff('day', lag(day) OVER (PARTITION BY customer ORDER BY day), day) AS gap FROM (SELECT DISTINCT o_custkey AS customer, o_orderdate::DATE AS day FROM orders))
+WHERE gap > 1 QUALIFY row_number() OVER (PARTITION BY customer ORDER BY day) <= 2""")
 def silent_days(t):
-    """The first two pauses of one customer (the question asked)."""
-    return a.gaps(a.daily_counts(t("orders").where("o_custkey = 1"), "o_orderdate")).withColumn("day", F.col("day").cast("string"))
+    """The first two pauses of each customer."""
+    daily = a.daily_counts(t("orders").withColumn("customer", F.col("o_custkey")), "o_orderdate", "customer")
+    return a.gaps(daily, 2, "customer").withColumn("day", F.col("day").cast("string"))
 
 
 @query(TOUCH + """, c AS (SELECT item, actor, count(*) AS touches FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY tm DESC, k DESC, ln DESC) AS n FROM touch) WHERE n <= 50 GROUP BY 1, 2)

@@ -164,12 +164,12 @@ def item_clusters(t):
     return f.clusters(members, all_edges, pairs, f.adaptive_threshold(co, members, low=0.01))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_quantity > 49),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node WHERE r.root <= s.b)
-SELECT node, min(root) AS root FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, root) USING KEY (node) AS (SELECT a, a FROM s GROUP BY 1 UNION SELECT s.b, min(r.root) FROM r JOIN s ON s.a = r.node JOIN recurring.r AS c ON c.node = s.b WHERE r.root < c.root GROUP BY s.b)
+SELECT node, root FROM r""")
 def linked_components(t):
-    """Parts and suppliers connected by large lines."""
-    e = t("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct()
+    """Parts and suppliers connected by lines."""
+    e = t("lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct()
     return g.components(e)
 
 

@@ -1,6 +1,7 @@
 """Steps whose disk and rows must not grow faster than their input."""
 
 import itertools
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from weft.operators import coupling as c
 from weft.operators import curvature as k
 from weft.operators import diffusion as d
 from weft.operators import hops as h
+from weft.operators import hunks
 from weft.operators.graph import cut, folder
 
 
@@ -19,7 +21,7 @@ def shuffle_files(spark):
 
 def test_a_cut_leaves_no_shuffle_files(spark):
     before = shuffle_files(spark)
-    assert cut(spark.range(1000).groupBy((F.col("id") % 7).alias("x")).count()).count() == 7
+    assert len(cut(spark.range(1000).groupBy((F.col("id") % 7).alias("x")).count()).collect()) == 7
     assert not shuffle_files(spark) - before
 
 
@@ -60,3 +62,42 @@ def test_hops_of_more_sources_than_a_row_has_bits(spark):
 
 def test_new_folders_differ(spark):
     assert folder(spark) != folder(spark)
+
+
+def tangle(spark, n=60, parts=8):
+    """Transactions 1 .. n of up to five of a few items, so that all of them meet."""
+    rows = {(t, (t * j * j + j) % parts) for t in range(1, n + 1) for j in range(t % 5 + 1)}
+    return rows, spark.createDataFrame(sorted(rows), "txn long, item long")
+
+
+def test_transactions_of_a_common_item_are_not_all_paired(spark, monkeypatch):
+    rows, items = tangle(spark)
+    ranks = spark.range(1, 61).select(F.col("id").alias("txn"), (F.col("id") * 7 % 61 * 40).alias("rank"))
+    whole = lambda: sorted((r["src"], r["dst"], round(r["w"], 12)) for r in c.transaction_graph(items, ranks, 3, 0.1).collect())
+    of = {t: {i for u, i in rows if u == t} for t, _ in rows}
+    rank = {t: t * 7 % 61 * 40 for t in of}
+    score = lambda x, y: len(of[x] & of[y]) / len(of[x] | of[y]) * math.exp(-0.1 * abs(rank[x] - rank[y]))
+    want = [(x, y, round(score(x, y), 12)) for x in of for y in sorted((y for y in of if y != x and of[x] & of[y]), key=lambda y: (-round(score(x, y), 9), y))[:3]]  # noqa: B023
+    assert whole() == sorted(want)
+    monkeypatch.setattr(c, "SMALL", 2)
+    assert whole() == sorted(want)
+    monkeypatch.setattr(c, "pairs", None)
+    assert whole() == sorted(want)
+
+
+@pytest.mark.parametrize("small", [2, 64])
+def test_places_that_share_one_name_are_not_all_paired(spark, monkeypatch, small):
+    rows, items = tangle(spark)
+    monkeypatch.setattr(c, "SMALL", small)
+    monkeypatch.setattr(hunks, "SMALL", small)
+    own = spark.range(1, 61).select(F.col("id").alias("hunk"), (F.col("id") % 9).alias("file"), F.when(F.col("id") != 5, F.col("id") / 100).alias("balance"))
+    got = {(r["a"], r["b"]): round(r["score"], 9) for r in hunks.named_pairs(own, items.toDF("hunk", "token"), 3).collect()}
+    of = {t: {i for u, i in rows if u == t} for t, _ in rows}
+    score = {(x, y): round(len(of[x] & of[y]) / len(of[x] | of[y]), 9) for x in of for y in of if x < y and of[x] & of[y]}
+    assert got.items() <= score.items()
+    if small == 64:
+        assert len(got) < len(score)
+    for x in of:
+        best = sorted((pair for pair in score if x in pair), key=lambda p: (-score[p], sum(p)))[:3]
+        assert set(best) <= set(got)
+    assert all(pair in got for pair in score if len(of[pair[0]] & of[pair[1]]) > 1 or pair[0] % 9 == pair[1] % 9)

@@ -80,6 +80,18 @@ def test_fuzzy_moves_are_the_greedy_ones(spark):
     assert got == sorted(want) and len(got) > 20
 
 
+def test_a_moved_line_with_a_bit_changed_in_every_byte(spark):
+    rows = [(1, 1, "delete", 0x0123456789ABCDEF), (1, 9, "insert", 0x0123456789ABCDEF ^ 0x0101010101010101)]
+    got = e.fuzzy_moves(spark.createDataFrame(rows, "doc long, unit long, kind string, hash long"), ["doc"]).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 9, 8)]
+
+
+def test_a_diff_shuffles_lines_once(spark, texts):
+    old, new = (lines(spark, x) for x in texts)
+    plan = e.edit_units(e.hunks_of(e.line_diff(old, new)), ["doc"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_hunk_graph_is_that_of_all_pairs(spark):
     rng = random.Random(7)
     hunks = [(i, f"f{i % 3}", rng.randrange(0, 300), rng.randrange(1, 40) + rng.random(), rng.random() * 9) for i in range(60)]

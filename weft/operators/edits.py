@@ -6,10 +6,12 @@ context, in the order of ``pos``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, drop
 
 
 def anchors(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -32,45 +34,38 @@ def line_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     before its next one, are context as far as they reach without a break; of the rest the old lines are
     deleted and the new ones added.
     """
-    a = cut(anchors(old, new))
-    order = Window.partitionBy("doc").orderBy("at")
-
-    def placed(lines: DataFrame, side: str) -> DataFrame:
-        """Lines with their gap, and their distance from the anchor before and to the one behind."""
-        marked = lines.select("doc", F.col("line").alias("at"), "text").join(a.select("doc", F.col(side).alias("at"), F.lit(1).alias("anchor")), ["doc", "at"], "left")
-        gap = F.count("anchor").over(order)
-        rows = marked.withColumn("gap", gap)
-        size = F.count("*").over(Window.partitionBy("doc", "gap"))
-        ahead = F.row_number().over(Window.partitionBy("doc", "gap").orderBy("at"))
-        return rows.withColumns({"ahead": ahead, "size": size}).withColumn("behind", F.col("size") - F.col("ahead"))
-
-    x, y = cut(placed(old, "i")), cut(placed(new, "j"))
-    size = lambda d, n: d.select("doc", "gap", F.col("size").alias(n)).distinct()
-    both = size(x, "sx").join(size(y, "sy"), ["doc", "gap"])
-
-    def run(key: str) -> DataFrame:
-        """(doc, gap, n): equal lines from one end of a gap without a break."""
-        met = both.join(x.select("doc", "gap", key, F.col("text").alias("tx")), ["doc", "gap"]).join(y.select("doc", "gap", key, F.col("text").alias("ty")), ["doc", "gap", key], "left")
-        broken = F.min(F.when(F.col("ty").isNull() | (F.col("tx") != F.col("ty")), F.col(key)))
-        first = 1 if key == "ahead" else 0
-        return met.groupBy("doc", "gap").agg((F.coalesce(broken, F.greatest(F.max("sx"), F.max("sy")) + first) - first).alias(f"n_{key}"))
-
-    runs = both.join(run("ahead"), ["doc", "gap"], "left").join(run("behind"), ["doc", "gap"], "left")
-    least = F.least("sx", "sy")
-    head = F.least(F.coalesce("n_ahead", F.lit(0)), least)
-    runs = runs.select("doc", "gap", "sx", "sy", head.alias("head"), F.least(F.coalesce("n_behind", F.lit(0)), least - head).alias("tail"))
-    known = lambda d: d.join(runs, ["doc", "gap"], "left").withColumn("same", F.coalesce((F.col("ahead") <= F.col("head")) | (F.col("behind") < F.col("tail")), F.lit(False)))
-    ox, ny = known(x), known(y)
-    deleted = ox.select("doc", "gap", "text", F.when(F.col("same"), "context").otherwise("del").alias("kind"), F.col("at").alias("old_no"), F.when(F.col("same") & (F.col("ahead") > F.col("head")), 3).when(F.col("same"), 0).otherwise(1).alias("zone"), "ahead", "behind")
-    added = ny.where(~F.col("same")).select("doc", "gap", "text", F.lit("add").alias("kind"), F.lit(None).cast("bigint").alias("old_no"), F.lit(2).alias("zone"), "ahead", "behind").withColumn("new_no", F.col("ahead"))
-    places = ny.where("same").select("doc", "gap", F.col("at").alias("new_no"), F.when(F.col("ahead") <= F.col("head"), F.col("ahead")).alias("from_head"), F.when(F.col("ahead") > F.col("head"), F.col("behind")).alias("from_tail"))
-    keyed = deleted.withColumns({"from_head": F.when(F.col("zone") == 0, F.col("ahead")), "from_tail": F.when(F.col("zone") == 3, F.col("behind"))})
-    match = [keyed["doc"] == places["doc"], keyed["gap"] == places["gap"], keyed["from_head"].eqNullSafe(places["from_head"]), keyed["from_tail"].eqNullSafe(places["from_tail"]), keyed["kind"] == "context"]
-    left = keyed.join(places, match, "left").select(keyed["doc"], keyed["gap"], keyed["text"], keyed["kind"], keyed["old_no"], keyed["zone"], keyed["ahead"], places["new_no"])
-    where = ny.select("doc", "gap", "ahead", F.col("at").alias("line"))
-    right = added.drop("new_no", "behind").join(where, ["doc", "gap", "ahead"]).select("doc", "gap", "text", "kind", F.lit(None).cast(dict(old.dtypes)["line"]).alias("old_no"), "zone", "ahead", F.col("line").alias("new_no"))
+    side = lambda d, k: d.select("doc", F.lit(k).alias("side"), F.col("line").cast("long").alias("at"), "text")
+    # Every window's keys begin with the doc: lines are shuffled once, and only sorted from there on.
+    rows = side(old, 0).union(side(new, 1)).repartition("doc")
+    of_old, of_new = F.col("side") == 0, F.col("side") == 1
+    met = Window.partitionBy("doc", "text")
+    once = (F.count_if(of_old).over(met) == 1) & (F.count_if(of_new).over(met) == 1) & F.col("text").isNotNull()
+    rows = rows.withColumn("partner", F.when(once, F.when(of_old, F.min(F.when(of_new, F.col("at"))).over(met)).otherwise(F.min(F.when(of_old, F.col("at"))).over(met))))
+    by = Window.partitionBy("doc", "side").orderBy("at")
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    top, low = F.max("partner").over(before), F.min("partner").over(after)
+    rows = rows.withColumn("anchor", F.when((top.isNull() | (top < F.col("partner"))) & (low.isNull() | (low > F.col("partner"))), F.col("partner"))).drop("partner")
+    rows = rows.withColumn("gap", F.count("anchor").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("anchor")
+    own, both = Window.partitionBy("doc", "side", "gap"), Window.partitionBy("doc", "gap")
+    rows = rows.withColumn("ahead", F.row_number().over(own.orderBy("at"))).withColumn("behind", F.count("*").over(own) - F.col("ahead"))
+    for key in ("ahead", "behind"):
+        beside = Window.partitionBy("doc", "gap", key)
+        same = (F.count("text").over(beside) == 2) & (F.min("text").over(beside) == F.max("text").over(beside))
+        rows = rows.withColumns({f"by_{key}": F.max(F.when(of_new, F.col("at"))).over(beside), f"broken_{key}": F.when(of_old & ~same, F.col(key))})
+    least = F.least(F.count_if(of_old).over(both), F.count_if(of_new).over(both))
+    run = lambda key, first: F.coalesce(F.min(f"broken_{key}").over(both) - first, least)
+    rows = rows.withColumns({"least": least, "head": F.least(run("ahead", 1), least), "tail": run("behind", 0)}).withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
+    in_head, in_tail = F.col("ahead") <= F.col("head"), (F.col("ahead") > F.col("head")) & (F.col("behind") < F.col("tail"))
+    kept = rows.where(of_old | ~(in_head | in_tail))
+    placed = kept.select(
+        "doc", "gap", "ahead", "text",
+        F.when(of_new, "add").when(in_head | in_tail, "context").otherwise("del").alias("kind"),
+        F.when(of_new, 2).when(in_head, 0).when(in_tail, 3).otherwise(1).alias("zone"),
+        F.when(of_old, F.col("at")).alias("old_no"),
+        F.when(of_new, F.col("at")).when(in_head, F.col("by_ahead")).when(in_tail, F.col("by_behind")).alias("new_no"),
+    )
     pos = F.row_number().over(Window.partitionBy("doc").orderBy("gap", "zone", "ahead"))
-    return left.unionByName(right).withColumn("pos", pos).select("doc", "pos", "kind", "old_no", "new_no", "text")
+    return placed.withColumn("pos", pos).select("doc", "pos", "kind", "old_no", "new_no", "text")
 
 
 def hunks_of(diff: DataFrame) -> DataFrame:
@@ -115,22 +110,28 @@ def fuzzy_moves(units: DataFrame, keys: list[str], fingerprint: str = "hash") ->
     """(keys, from_unit, to_unit, distance): deletions and insertions that are one moved line.
 
     ``units``: (keys, unit, kind, hash); of two within ``NEAR`` bits one of ``PIECES`` runs of bits is equal, so an
-    equi-join on the runs finds all of them.  In order, each deletion takes its nearest insertion that is
+    equi-join on the runs finds all of them, each in its first equal run alone.  In order, each deletion takes its nearest insertion that is
     not taken, ties to the first, never the unit beside it.  Rounds of proposals give just that: an
     insertion keeps the earliest deletion that asks, the others ask for their next one.
     """
-    width = -(-64 // PIECES)
-    runs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.struct(k.alias("k"), F.call_function("shiftright", F.col("h"), k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits"))))
+    low = [64 * k // PIECES for k in range(PIECES + 1)]
+    piece = lambda h, k: F.shiftright(h, low[k]).bitwiseAND(F.lit((1 << low[k + 1] - low[k]) - 1))
+    runs = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), piece(F.col("h"), k).alias("bits")) for k in range(PIECES))))
     of = lambda kind, name: units.where((F.col("kind") == kind) & (F.col(fingerprint) != 0)).select(*keys, F.col("unit").alias(name), F.col(fingerprint).alias("h"))
     d = of("delete", "d").withColumn("run", runs).select(*keys, "d", F.col("h").alias("hd"), "run")
     i = of("insert", "i").withColumn("run", runs).select(*keys, "i", F.col("h").alias("hi"), "run")
-    distance = F.bit_count(F.col("hd").bitwiseXOR(F.col("hi")))
-    met = d.join(i, [*keys, "run"]).withColumn("distance", distance).where((F.col("distance") <= NEAR) & (F.abs(F.col("d") - F.col("i")) > 1))
-    offers = cut(met.select(*keys, "d", "i", "distance").distinct())
+    apart = F.col("hd").bitwiseXOR(F.col("hi"))
+    first = reduce(Column.__and__, ((F.col("run.k") <= k) | (piece(apart, k) != 0) for k in range(PIECES - 1)))
+    met = d.join(i, [*keys, "run"]).withColumn("distance", F.bit_count(apart)).where((F.col("distance") <= NEAR) & (F.abs(F.col("d") - F.col("i")) > 1) & first)
+    offers = cut(met.select(*keys, "d", "i", "distance"))
     while True:
         best = offers.groupBy(*keys, "d").agg(F.min(F.struct("distance", "i")).alias("b")).select(*keys, "d", "b.distance", "b.i")
         held = cut(best.withColumn("first", F.min("d").over(Window.partitionBy(*keys, "i"))))
         refused = held.where(F.col("first") < F.col("d")).select(*keys, "d", "i")
         if not refused.take(1):
+            drop(offers)
             return held.select(*keys, F.col("d").alias("from_unit"), F.col("i").alias("to_unit"), "distance")
-        offers = cut(offers.join(refused, [*keys, "d", "i"], "left_anti"))
+        left = cut(offers.join(refused, [*keys, "d", "i"], "left_anti"))
+        drop(offers)
+        drop(held)
+        offers = left

@@ -80,6 +80,13 @@ def test_fuzzy_moves_are_the_greedy_ones(spark):
     assert got == sorted(want) and len(got) > 20
 
 
+def test_many_equal_lines_move_in_one_pass(spark):
+    rows = [(1, u, "delete" if u <= 40 else "insert", 77) for u in range(1, 81)]
+    found = e.fuzzy_moves(spark.createDataFrame(rows, "doc long, unit long, kind string, hash long"), ["doc"])
+    assert sorted((r["from_unit"], r["to_unit"]) for r in found.collect()) == [(u, 40 + u) for u in range(1, 41)]
+    assert not found.inputFiles()  # no table of a round
+
+
 def test_a_moved_line_with_a_bit_changed_in_every_byte(spark):
     rows = [(1, 1, "delete", 0x0123456789ABCDEF), (1, 9, "insert", 0x0123456789ABCDEF ^ 0x0101010101010101)]
     got = e.fuzzy_moves(spark.createDataFrame(rows, "doc long, unit long, kind string, hash long"), ["doc"]).collect()

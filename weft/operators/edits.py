@@ -6,13 +6,13 @@ context, in the order of ``pos``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut, drop
-
 
 def anchors(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc, i, j): lines that stand once on either side, without those that would cross another one.
@@ -111,8 +111,7 @@ def fuzzy_moves(units: DataFrame, keys: list[str], fingerprint: str = "hash") ->
 
     ``units``: (keys, unit, kind, hash); of two within ``NEAR`` bits one of ``PIECES`` runs of bits is equal, so an
     equi-join on the runs finds all of them, each in its first equal run alone.  In order, each deletion takes its nearest insertion that is
-    not taken, ties to the first, never the unit beside it.  Rounds of proposals give just that: an
-    insertion keeps the earliest deletion that asks, the others ask for their next one.
+    not taken, ties to the first, never the unit beside it: one pass over the sorted pairs.
     """
     low = [64 * k // PIECES for k in range(PIECES + 1)]
     piece = lambda h, k: F.shiftright(h, low[k]).bitwiseAND(F.lit((1 << low[k + 1] - low[k]) - 1))
@@ -123,15 +122,24 @@ def fuzzy_moves(units: DataFrame, keys: list[str], fingerprint: str = "hash") ->
     apart = F.col("hd").bitwiseXOR(F.col("hi"))
     first = reduce(Column.__and__, ((F.col("run.k") <= k) | (piece(apart, k) != 0) for k in range(PIECES - 1)))
     met = d.join(i, [*keys, "run"]).withColumn("distance", F.bit_count(apart)).where((F.col("distance") <= NEAR) & (F.abs(F.col("d") - F.col("i")) > 1) & first)
-    offers = cut(met.select(*keys, "d", "i", "distance"))
-    while True:
-        best = offers.groupBy(*keys, "d").agg(F.min(F.struct("distance", "i")).alias("b")).select(*keys, "d", "b.distance", "b.i")
-        held = cut(best.withColumn("first", F.min("d").over(Window.partitionBy(*keys, "i"))))
-        refused = held.where(F.col("first") < F.col("d")).select(*keys, "d", "i")
-        if not refused.take(1):
-            drop(offers)
-            return held.select(*keys, F.col("d").alias("from_unit"), F.col("i").alias("to_unit"), "distance")
-        left = cut(offers.join(refused, [*keys, "d", "i"], "left_anti"))
-        drop(offers)
-        drop(held)
-        offers = left
+    types = dict(met.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + f", from_unit {types['d']}, to_unit {types['i']}, distance int"
+    offers = met.select(*keys, "d", "distance", "i")
+    return offers.repartition(*keys).sortWithinPartitions(*keys, "d", "distance", "i").mapInPandas(_taken, schema)
+
+
+def _taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of offers (keys, d, distance, i) in order, each d's first i that no earlier d has; a group's own i are held, no offers."""
+    key, last, gone = None, None, set()
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False, name=None):
+            group, (d, distance, i) = row[:-3], row[-3:]
+            if group != key:
+                key, last, gone = group, None, set()
+            if d != last and i not in gone:
+                last = d
+                gone.add(i)
+                out.append((*group, d, i, distance))
+        if out:
+            yield pd.DataFrame(out)

@@ -11,6 +11,7 @@ from weft.operators import curvature as k
 from weft.operators import diffusion as d
 from weft.operators import hops as h
 from weft.operators import hunks
+from weft.operators import text as x
 from weft.operators.graph import cut, folder
 
 
@@ -101,3 +102,16 @@ def test_places_that_share_one_name_are_not_all_paired(spark, monkeypatch, small
         best = sorted((pair for pair in score if x in pair), key=lambda p: (-score[p], sum(p)))[:3]
         assert set(best) <= set(got)
     assert all(pair in got for pair in score if len(of[pair[0]] & of[pair[1]]) > 1 or pair[0] % 9 == pair[1] % 9)
+
+
+@pytest.mark.parametrize("tokens_of_a_block", [40, 1 << 20])
+def test_pairs_of_token_sets_are_no_rows_before_they_count(spark, monkeypatch, tokens_of_a_block):
+    monkeypatch.setattr(x, "BLOCK_TOKENS", tokens_of_a_block, raising=False)
+    sets = {i: {"all", "even" if i % 2 else "odd", f"t{i * i % 11}", f"u{i % 13}", f"v{i}"} for i in range(60)} | {99: {"alone"}}
+    tokens = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "doc long, token string")
+    idf = {t: math.log(1 + len(sets) / (1 + sum(t in s for s in sets.values()))) for s in sets.values() for t in s}
+    w = lambda s: sum(idf[t] for t in s)
+    score = {(a, b): w(sets[a] & sets[b]) / w(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    found = x.idf_jaccard(tokens, x.document_frequency(tokens, len(sets)), 0.2)
+    assert {(r["a"], r["b"]): round(r["score"], 9) for r in found.collect()} == {p: round(s, 9) for p, s in score.items() if s >= 0.2}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -115,3 +115,24 @@ def test_pairs_of_token_sets_are_no_rows_before_they_count(spark, monkeypatch, t
     found = x.idf_jaccard(tokens, x.document_frequency(tokens, len(sets)), 0.2)
     assert {(r["a"], r["b"]): round(r["score"], 9) for r in found.collect()} == {p: round(s, 9) for p, s in score.items() if s >= 0.2}
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("listed", [3, 4096])
+def test_missing_peers_are_scored_only_if_a_stretch_allows_it(spark, monkeypatch, listed):
+    monkeypatch.setattr(c, "LISTED", listed, raising=False)
+    w = {(a, b): ((a * 7 + b * 13) % 10 + 1) / 40 for a, b in itertools.combinations(range(24), 2) if (a * b + a) % 3}
+    of = {s: sorted({(s * 5 + j * j * 7) % 24 for j in range(s % 6 + 1)}) for s in range(40)}
+    edges = spark.createDataFrame([(a, b, s) for (a, b), s in w.items()], "a long, b long, score double")
+    sets = spark.createDataFrame([(s, i) for s, x in of.items() for i in x] + [(7, None)], "set_id long, item long")
+    near = lambda a, b: w.get((min(a, b), max(a, b)), 0.0)
+    want, strong = set(), 0
+    for s, items in of.items():
+        strong += sum(any(near(i, d) >= 0.12 for i in items) for d in range(24) if d not in items)
+        score = {d: round(sum(near(i, d) for i in items) / (len(items) + (s == 7)), 9) for d in range(24) if d not in items}
+        best = sorted((-v, d) for d, v in score.items() if v >= 0.12)[:5]
+        want |= {(s, d, -v) for v, d in best}
+    tables, whole = [], c.cut
+    monkeypatch.setattr(c, "cut", lambda df: tables.append(whole(df)) or tables[-1])
+    assert {(r["set_id"], r["item"], r["score"]) for r in c.missing_peers(edges, sets, least=0.12).collect()} == want
+    scored = [t.count() for t in tables if set(t.columns) == {"set_id", "size", "dst"}]
+    assert len(scored) == 1 and scored[0] < strong * 0.8

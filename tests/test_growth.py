@@ -12,6 +12,7 @@ from weft.operators import diffusion as d
 from weft.operators import hops as h
 from weft.operators import hunks
 from weft.operators import text as x
+from weft.operators import transforms as t
 from weft.operators.graph import cut, folder
 
 
@@ -134,5 +135,11 @@ def test_missing_peers_are_scored_only_if_a_stretch_allows_it(spark, monkeypatch
     tables, whole = [], c.cut
     monkeypatch.setattr(c, "cut", lambda df: tables.append(whole(df)) or tables[-1])
     assert {(r["set_id"], r["item"], r["score"]) for r in c.missing_peers(edges, sets, least=0.12).collect()} == want
-    scored = [t.count() for t in tables if set(t.columns) == {"set_id", "size", "dst"}]
+    scored = [table.count() for table in tables if set(table.columns) == {"set_id", "size", "dst"}]
     assert len(scored) == 1 and scored[0] < strong * 0.8
+
+
+def test_states_of_an_edit_are_written_once(spark):
+    row = spark.range(1).select(F.expr(f"cast(null as {t.EDIT})").alias("e"), F.expr(f"cast(null as {t.EDIT})").alias("f"), F.expr("named_struct('nodes', array('x'), 'edges', array(named_struct('a', 'x', 'b', 'y', 'w', 1D)))").alias("s"))
+    plan = row.select(t.converges(F.col("s"), F.col("e"), F.col("f")))._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("array_union") <= 16

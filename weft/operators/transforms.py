@@ -60,9 +60,15 @@ def applied(state: Column, e: Column) -> Column:
     )
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def converges(state: Column, a: Column, b: Column) -> Column:
     """Whether both ways round the square meet: a then b as transformed, b then a as transformed."""
-    return applied(applied(state, a), transformed(b, a)) == applied(applied(state, b), transformed(a, b))
+    way = lambda x, y: _bound(applied(state, x), lambda s: _bound(transformed(y, x), lambda e: applied(s, e)))
+    return way(a, b) == way(b, a)
 
 
 def rekey_points(log: DataFrame, key: str, order: list[str], interval: int = 128) -> DataFrame:

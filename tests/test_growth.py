@@ -143,3 +143,14 @@ def test_states_of_an_edit_are_written_once(spark):
     row = spark.range(1).select(F.expr(f"cast(null as {t.EDIT})").alias("e"), F.expr(f"cast(null as {t.EDIT})").alias("f"), F.expr("named_struct('nodes', array('x'), 'edges', array(named_struct('a', 'x', 'b', 'y', 'w', 1D)))").alias("s"))
     plan = row.select(t.converges(F.col("s"), F.col("e"), F.col("f")))._jdf.queryExecution().analyzed().toString()
     assert 0 < plan.count("array_union") <= 16
+
+
+def test_partitions_of_pairs_follow_the_rows(spark, monkeypatch):
+    rows, _ = tangle(spark)
+    table = spark.createDataFrame([(t, i) for t, i in rows for _ in range(2)] + [(None, 1), (1, None)], "txn long, item long")
+    edges = lambda: c.jaccard_edges(c.transaction_items(table, "txn", "item"))
+    whole = {tuple(r) for r in edges().collect()}
+    monkeypatch.setattr(c, "ROWS", 10, raising=False)
+    spread = edges()
+    assert {tuple(r) for r in spread.collect()} == whole and whole
+    assert spread.rdd.getNumPartitions() == -(-len(rows) // 10)

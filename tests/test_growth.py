@@ -14,6 +14,7 @@ from weft.operators import hunks
 from weft.operators import text as x
 from weft.operators import transforms as t
 from weft.operators.graph import cut, folder
+from weft.sources import listings
 
 
 def shuffle_files(spark):
@@ -154,3 +155,18 @@ def test_partitions_of_pairs_follow_the_rows(spark, monkeypatch):
     spread = edges()
     assert {tuple(r) for r in spread.collect()} == whole and whole
     assert spread.rdd.getNumPartitions() == -(-len(rows) // 10)
+
+
+def test_rows_are_dealt_where_the_session_has_more_partitions(spark, monkeypatch):
+    monkeypatch.setattr(c, "ROWS", 100)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert c.partitions(spark.range(1000)) == 10 and c.partitions(spark.range(100)) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_blame_sorts_no_texts(spark):
+    lines = spark.createDataFrame([("k", 1, "a" * 40 + " 1 1"), ("k", 2, "summary s"), ("k", 3, "\tone")], "key string, line_no int, text string")
+    found = listings.blame(lines)
+    assert found.count() == 1 and "text#" not in found._jdf.queryExecution().optimizedPlan().toString().rpartition("Window")[0]

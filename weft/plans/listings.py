@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import contents, paths
+from ..operators import coupling
 from ..operators import diffs as d
 from ..sources import forges, listings
 from .registry import query
@@ -88,7 +89,10 @@ def remote_listing(t):
  l_linestatus || l_partkey AS content FROM lineitem""")
 def blame_lines(t):
     """Suppliers stand for files, orders for commits, whose author is told once a file."""
-    rows = t("lineitem").withColumn("again", F.row_number().over(Window.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey")) > 1)
+    own = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")  # that of the blocks: one sort
+    lineitem = t("lineitem")
+    dealt = coupling.dealt(lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus"), coupling.partitions(lineitem), "l_suppkey")
+    rows = dealt.withColumn("again", F.coalesce(F.lag("l_orderkey").over(own) == F.col("l_orderkey"), F.lit(False)))
     h = "concat(md5(cast(l_orderkey as string)), left(md5(cast(l_orderkey as string)), 8)"
     lines = blocks(
         rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"],

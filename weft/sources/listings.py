@@ -91,16 +91,20 @@ def blame(lines: DataFrame) -> DataFrame:
     before any entry are dropped; an unknown author or time is empty.
     """
     p = r"^([0-9a-f]{40}) \d+ (\d+)"
-    file = Window.partitionBy("key").orderBy("line_no")
-    head = F.col("text").rlike(p)
-    seen = lines.select("key", "line_no", "text").withColumn("commit_hash", F.last(F.when(head, F.regexp_extract("text", p, 1)), True).over(file))
-    seen = seen.withColumn("line_number", F.last(F.when(head, F.regexp_extract("text", p, 2).cast("int")), True).over(file))
-    commit = Window.partitionBy("key", "commit_hash").orderBy("line_no")
-    for name, mark in (("author_name", "author "), ("authored_at", "author-time ")):
-        value = F.last(F.when(F.startswith("text", F.lit(mark)), F.substr("text", F.lit(len(mark) + 1))), True)
-        seen = seen.withColumn(name, F.coalesce(value.over(commit), F.lit("")))
-    rows = seen.where(F.startswith("text", F.lit("\t")) & F.col("commit_hash").isNotNull())
-    return rows.select("key", "line_number", "commit_hash", F.left("commit_hash", F.lit(8)).alias("short_hash"), "author_name", "authored_at", F.substr("text", F.lit(2)).alias("content"))
+    starts = lambda mark: F.startswith("text", F.lit(mark))
+    after = lambda mark: F.substr("text", F.lit(len(mark) + 1))
+    kind = F.when(F.col("text").rlike(p), 0).when(starts("author "), 1).when(starts("author-time "), 2).when(starts("\t"), 3)
+    value = F.when(F.col("kind") == 1, after("author ")).when(F.col("kind") == 2, after("author-time ")).when(F.col("kind") == 3, after("\t"))
+    entry = F.struct(F.unhex(F.regexp_extract("text", p, 1)).alias("commit"), F.regexp_extract("text", p, 2).cast("int").alias("line_number"))
+    # Other lines go before anything is sorted, and the first lines of entries once their followers know them.
+    told = lines.select("key", "line_no", "text", kind.alias("kind")).where("kind is not null").select("key", "line_no", "kind", value.alias("value"), F.when(F.col("kind") == 0, entry).alias("entry"))
+    of = F.last("entry", True).over(Window.partitionBy("key").orderBy("line_no"))
+    seen = told.select("key", "line_no", "kind", "value", of.alias("entry")).where("kind > 0 and entry is not null").select("key", "line_no", "kind", "value", "entry.*")
+    commit = Window.partitionBy("key", "commit").orderBy("line_no")
+    known = lambda k: F.coalesce(F.last(F.when(F.col("kind") == k, F.col("value")), True).over(commit), F.lit(""))
+    rows = seen.select("key", "line_number", "commit", "kind", "value", known(1).alias("author_name"), known(2).alias("authored_at")).where("kind = 3")
+    commit_hash = F.lower(F.hex("commit"))
+    return rows.select("key", "line_number", commit_hash.alias("commit_hash"), F.left(commit_hash, F.lit(8)).alias("short_hash"), "author_name", "authored_at", F.col("value").alias("content"))
 
 
 def worktrees(lines: DataFrame) -> DataFrame:

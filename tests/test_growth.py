@@ -12,6 +12,7 @@ from weft.operators import diffusion as d
 from weft.operators import hops as h
 from weft.operators import hunks
 from weft.operators import text as x
+from weft.operators import graph as g
 from weft.operators import transforms as t
 from weft.operators.graph import cut, folder
 from weft.sources import listings
@@ -170,3 +171,9 @@ def test_blame_sorts_no_texts(spark):
     lines = spark.createDataFrame([("k", 1, "a" * 40 + " 1 1"), ("k", 2, "summary s"), ("k", 3, "\tone")], "key string, line_no int, text string")
     found = listings.blame(lines)
     assert found.count() == 1 and "text#" not in found._jdf.queryExecution().optimizedPlan().toString().rpartition("Window")[0]
+
+
+def test_fragments_make_the_edges_once(spark):
+    edges = spark.range(10).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") / 10).alias("w"))
+    found = g.fragmentation(edges, 0.5, 11)
+    assert found.first()[:3] == (6, 6 / 11, 0) and "Range" not in found._jdf.queryExecution().optimizedPlan().toString()

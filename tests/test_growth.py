@@ -177,3 +177,10 @@ def test_fragments_make_the_edges_once(spark):
     edges = spark.range(10).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") / 10).alias("w"))
     found = g.fragmentation(edges, 0.5, 11)
     assert found.first()[:3] == (6, 6 / 11, 0) and "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reach_ships_no_sketch_of_the_last_hop(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 20, 1.0) for i in range(20)], "a long, b long, w double")
+    found = h.reach(ring, 3)
+    assert {(r["hop"], r["reached"]) for r in found.collect()} == {(0, 1), (1, 3), (2, 5), (3, 7)}
+    assert "hll_union_agg" in found._jdf.queryExecution().optimizedPlan().toString()  # counted where it is made

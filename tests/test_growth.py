@@ -11,6 +11,7 @@ from weft.operators import curvature as k
 from weft.operators import diffusion as d
 from weft.operators import hops as h
 from weft.operators import hunks
+from weft.operators import relevance
 from weft.operators import text as x
 from weft.operators import graph as g
 from weft.operators import transforms as t
@@ -184,3 +185,19 @@ def test_reach_ships_no_sketch_of_the_last_hop(spark):
     found = h.reach(ring, 3)
     assert {(r["hop"], r["reached"]) for r in found.collect()} == {(0, 1), (1, 3), (2, 5), (3, 7)}
     assert "hll_union_agg" in found._jdf.queryExecution().optimizedPlan().toString()  # counted where it is made
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def table(spark):
+    return lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+
+
+def test_edges_of_relevance_are_made_once(spark, monkeypatch):
+    seen, top = [], relevance.top_neighbours
+    monkeypatch.setattr(relevance, "top_neighbours", lambda pairs, k: seen.append(pairs) or top(pairs, k))
+    nodes = spark.range(4).select(F.col("id").alias("item"), F.lit("f").alias("folder"), F.array(F.lit("f"), F.col("id").cast("string")).alias("path"), F.lit(3).alias("touches"), F.lit(1.0).alias("mass"), F.lit(1.0).alias("volatility"), F.lit(1.0).alias("integrity"))
+    edges = spark.range(3).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.5).alias("score"))
+    assert relevance.build(nodes, edges, 10, least=0.0).count() == 6 and "Range" not in plan(seen[0])

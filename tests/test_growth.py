@@ -16,6 +16,7 @@ from weft.operators import text as x
 from weft.operators import graph as g
 from weft.operators import transforms as t
 from weft.operators.graph import cut, folder
+from weft.plans import graph as graphs
 from weft.sources import listings
 
 
@@ -195,6 +196,13 @@ def table(spark):
     return lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
 
 
+def test_edges_of_clusters_are_made_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graphs.f, "clusters", lambda members, edges, pairs, threshold: seen.append(edges) or edges)
+    graphs.item_clusters(spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(seen[0])
+
+
 def test_edges_of_relevance_are_made_once(spark, monkeypatch):
     seen, top = [], relevance.top_neighbours
     monkeypatch.setattr(relevance, "top_neighbours", lambda pairs, k: seen.append(pairs) or top(pairs, k))

@@ -17,6 +17,7 @@ from weft.operators import graph as g
 from weft.operators import transforms as t
 from weft.operators.graph import cut, folder
 from weft.plans import graph as graphs
+from weft.plans import tags
 from weft.sources import listings
 
 
@@ -196,6 +197,11 @@ def table(spark):
     return lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
 
 
+def test_orders_items_and_edges_of_tags_are_made_once(spark):
+    for made in (tags.transactions, tags.items, tags.edges):
+        assert not {"Join", "Aggregate"} & set(plan(made(table(spark))).replace("'", " ").split())
+
+
 def test_edges_of_clusters_are_made_once(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(graphs.f, "clusters", lambda members, edges, pairs, threshold: seen.append(edges) or edges)

@@ -375,3 +375,14 @@ def test_pages_without_structure_lose_what_neighbours_share(spark):
     assert texts[3].split("\n")[1] == "Alone" and texts[4] == "" and texts[5].startswith("Head & line\n")
     assert len(got) == 6 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_a_piece_meets_the_hot_keys_of_its_own_level_only(spark):
+    rng = random.Random(5)
+    some = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    gram, after = some(8), some(14)
+    key = int(suffix_dedup.gram_hashes(np.frombuffer(gram, np.uint8), 8).view(np.int64)[0])
+    rows = [(key, bytes([i]) * 16, some(20) + gram + after + some(6), 2) for i in range(40)]
+    ready, back = suffix_dedup.cooled(spark.createDataFrame(rows, "key long, digest binary, piece binary, n long"), 28, 8, 10)
+    assert len(back) == 2 and ready._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 2
+    assert ready.count() == 120

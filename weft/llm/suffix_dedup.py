@@ -166,20 +166,22 @@ def halves(length: int, gram: int):
 
 def cooled(distinct: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, list[DataFrame]]:
     """(pieces with no hot key, tables (digest, of, offset) that lead from halves back to pieces)."""
-    ready, back = distinct, []
+    ready, back = None, []
     at = distinct.withColumns({"low": F.lit(0), "high": F.lit(length - gram), "gram_at": F.lit(-1)})
     while True:
         many = written(at.where("low < high").groupBy("key").agg(F.count("*").alias("pieces")).where(F.col("pieces") > hot).select("key"), "hot", "zstd")
-        if many.isEmpty():
+        none = many.isEmpty()
+        # Only pieces of this level can have a key that is hot here; those that were cold before are not read again.
+        cold = (at if none else at.join(many, "key", "left_anti")).select("key", "digest", "piece", "n")
+        ready = cold if ready is None else ready.unionByName(cold)
+        if none:
             return ready, back
-        ready = ready.join(many, "key", "left_anti")
         cut = written(at.join(many, "key", "left_semi").select("key", "digest", "piece", "n", "low", "high", "gram_at").mapInPandas(halves(length, gram), HALVES), "halves", "zstd")
         back.append(cut.select("digest", "of", "offset"))
         same = ("piece", "low", "high", "gram_at")
         each = cut.groupBy("key", "digest").agg(*(F.first(c).alias(c) for c in same), F.sum("n").alias("n"))
         again = cut.groupBy("key").agg(F.sum("n").alias("met")).where("met > 1").select("key")
         at = written(each.join(again, "key", "left_semi"), "pieces", "zstd")
-        ready = ready.unionByName(at.select("key", "digest", "piece", "n"))
 
 
 class Shard:

@@ -215,3 +215,20 @@ def test_edges_of_relevance_are_made_once(spark, monkeypatch):
     nodes = spark.range(4).select(F.col("id").alias("item"), F.lit("f").alias("folder"), F.array(F.lit("f"), F.col("id").cast("string")).alias("path"), F.lit(3).alias("touches"), F.lit(1.0).alias("mass"), F.lit(1.0).alias("volatility"), F.lit(1.0).alias("integrity"))
     edges = spark.range(3).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.5).alias("score"))
     assert relevance.build(nodes, edges, 10, least=0.0).count() == 6 and "Range" not in plan(seen[0])
+
+
+@pytest.mark.parametrize("most", [None, 0, 2])
+def test_hops_within_tasks_write_nothing_but_the_graph(spark, monkeypatch, most):
+    from weft.operators import spread
+
+    ways = [(i, (i + 1) % 90, 1.0) for i in range(90)] + [(i, i + 7, 1.0) for i in range(40)] + [(200, 201, 1.0)]
+    edges = spark.createDataFrame(ways, "a long, b long, w double")
+    sources = spark.createDataFrame([(i,) for i in [*range(80), 200, 333]], "source long")  # 333 has no edge
+    key = lambda df: sorted(map(tuple, df.collect()))
+    written = []
+    monkeypatch.setattr(h, "cut", lambda df: written.append(df.columns) or cut(df))
+    monkeypatch.setattr(spread, "PIECE", 7)
+    got = key(h.hops(edges, sources, most))
+    assert ["node", "block", "bits"] not in written
+    monkeypatch.setattr(h, "NODES", 0)
+    assert got == key(h.hops(edges, sources, most)) and ["node", "block", "bits"] in written

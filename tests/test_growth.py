@@ -232,3 +232,19 @@ def test_hops_within_tasks_write_nothing_but_the_graph(spark, monkeypatch, most)
     assert ["node", "block", "bits"] not in written
     monkeypatch.setattr(h, "NODES", 0)
     assert got == key(h.hops(edges, sources, most)) and ["node", "block", "bits"] in written
+
+
+def test_triangles_of_lists_that_stream_past(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    ways = {tuple(sorted(rng.sample(range(-20, 60), 2))) for _ in range(700)} | {(10**12, x) for x in range(-20, 40)} | {(10**12, 2**62)}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in ways], "a long, b long, w double")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(k.triangles(edges))
+    for size in ("SENT", "STREAMED", "MET"):
+        monkeypatch.setattr(k, size, 5)
+    found = k.triangles(edges)
+    assert key(found) == want and len(want) > 500
+    assert "array_intersect" not in found._jdf.queryExecution().executedPlan().toString()
+    assert key(k.curvature(edges).select("a", "b", "triangles")) == sorted((a, b, sum(a in t and b in t for t in want)) for a, b in ({tuple(sorted(w)) for w in ways}))

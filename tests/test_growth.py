@@ -248,3 +248,23 @@ def test_triangles_of_lists_that_stream_past(spark, monkeypatch):
     assert key(found) == want and len(want) > 500
     assert "array_intersect" not in found._jdf.queryExecution().executedPlan().toString()
     assert key(k.curvature(edges).select("a", "b", "triangles")) == sorted((a, b, sum(a in t and b in t for t in want)) for a, b in ({tuple(sorted(w)) for w in ways}))
+
+
+@pytest.mark.parametrize("wide", [1, 4])
+def test_transactions_near_in_rank_meet_over_the_ends_of_bins(spark, monkeypatch, wide):
+    monkeypatch.setattr(c, "WIDE", wide)
+    n = 1500  # seven bins of the least width
+    items = spark.range(n).select(F.col("id").alias("txn"), (F.col("id") % 90).alias("item"), F.lit(1.0).alias("mass"))
+    ranks = spark.range(n).select(F.col("id").alias("txn"), (n - 1 - F.col("id")).alias("rank"))
+    got = {}
+    for r in c.transaction_graph(items, ranks, 4, 0.1).collect():
+        got.setdefault(r["src"], set()).add(r["dst"])
+    for x in range(n):
+        others = [y for y in range(x % 90, n, 90) if y != x]
+        assert got[x] == set(sorted(others, key=lambda y: (-round(math.exp(-0.1 * abs(x - y)), 9), y))[:4])
+
+
+def test_transactions_carry_their_rank_to_their_links(spark):
+    ranks = spark.range(1, 61).select(F.col("id").alias("txn"), F.col("id").alias("rank"))
+    plan = c.transaction_graph(tangle(spark)[1], ranks, 3, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Join Inner") <= 6  # sides of small and of large transactions, and what the latter look up

@@ -268,3 +268,20 @@ def test_transactions_carry_their_rank_to_their_links(spark):
     ranks = spark.range(1, 61).select(F.col("id").alias("txn"), F.col("id").alias("rank"))
     plan = c.transaction_graph(tangle(spark)[1], ranks, 3, 0.1)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("Join Inner") <= 6  # sides of small and of large transactions, and what the latter look up
+
+
+def test_one_source_of_a_large_graph_goes_by_shuffled_steps(spark, monkeypatch):
+    ring = spark.createDataFrame([(i, (i + 1) % 40, 1.0) for i in range(40)], "a long, b long, w double")
+    sources = lambda n: spark.range(n).select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("mass"))
+    steps = []
+    monkeypatch.setattr(d, "basis", lambda *a, f=d.basis: steps.append(1) or f(*a))
+    monkeypatch.setattr(d, "ROWS", 160)
+    assert d.heat_of(ring, sources(5), [1.0]).count() and not steps
+    assert d.heat_of(ring, sources(1), [1.0]).count() and steps
+
+
+def test_links_of_places_are_scored_from_written_pairs(spark):
+    rows, items = tangle(spark)
+    own = spark.range(1, 61).select(F.col("id").alias("hunk"), (F.col("id") % 9).alias("file"), (F.col("id") % 30).alias("start"), F.col("id").alias("additions"), F.lit(1).alias("deletions"))
+    plan = hunks.hunk_graph(own, items.select(F.col("txn").alias("hunk"), F.col("item").alias("token")), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "collect_set" not in plan

@@ -56,3 +56,24 @@ def test_line_bitmaps(spark):
     df = spark.createDataFrame([(x,) for x in texts], "t string").select(s.char_bits(F.col("t")), s.bigram_bits(F.col("t")), s.trigram_simhash(F.col("t")))
     want = [None if x is None else (bitmap(ord(c) & 63 for c in x), bitmap((ord(a) & 63) * 37 + (ord(b) & 63) & 63 for a, b in zip(x, x[1:])), simhash(x)) for x in texts]
     assert [None if r[0] is None else tuple(r) for r in df.collect()] == want
+
+
+def test_trigram_fingerprints_of_any_length(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from weft.functions import strings as s
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh .", k=n)) for n in (2, 3, 4, 17, 80, 129, 130, 400)] + ["a" * 129, "a" * 130, "ab" * 16400]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    grams = df.where(F.length("t") >= 3).select("i", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("at")).select("i", F.xxhash64(F.substring("t", F.col("at"), F.lit(3))).alias("h"))
+    of = {}
+    for r in grams.collect():
+        of.setdefault(r["i"], []).append(r["h"] & (1 << 64) - 1)
+    got = df.select("i", s.trigram_simhash(F.col("t")).alias("f"))
+    for r in got.collect():
+        hashes = of.get(r["i"], [])
+        assert r["f"] & (1 << 64) - 1 == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+    assert "72340172838076673" in got._jdf.queryExecution().optimizedPlan().toString()  # lanes of eight bits
